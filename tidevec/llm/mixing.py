@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import WORD, ranked, shared_dir, written
+from ._util import WORD, ranked, shared_dir, text_key, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -102,11 +102,12 @@ def tilt(hist: DataFrame, targets: DataFrame, base_rate: float, max_rate: float,
 
 def mix(
     docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, max_rate: int = 2,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keyed: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: id, source, size, source_size, target, rate, copies, taken.
 
-    ``copies`` is a whole number from 0 to ``max_rate``; ``taken`` is copies times size.
+    ``copies`` is a whole number from 0 to ``max_rate``; ``taken`` is copies
+    times size.  With ``keyed`` a column ``key`` tells the texts apart.
     """
     shared_dir(docs.sparkSession)
     key = ["src_null", "src"]
@@ -116,6 +117,7 @@ def mix(
             F.col(source_col).isNull().alias("src_null"),
             F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("src"),
             n_words(F.col(text_col)).alias("size"),
+            *([F.coalesce(text_key(F.col(text_col)), F.lit(b"")).alias("key")] if keyed else []),
         ),
         "mix-rows",
     )
@@ -140,5 +142,18 @@ def mix(
     return placed.join(cells, [*key, "size"]).select(
         F.col("id").alias(id_col),
         F.when(~F.col("src_null"), F.col("src")).alias(source_col),
-        "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+        "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *(["key"] if keyed else []),
     )
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as it has copies.
+
+    Rows that repeat an id, text and source count as one row with all their copies.
+    """
+    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, keyed=True, **options)
+    one = [F.coalesce(F.col(id_col).cast("string"), F.lit("none")).alias("__id"), F.coalesce(F.col(source_col), F.lit("")).alias("__src"), F.col(source_col).isNull().alias("__null")]
+    plan = plan.select(*one, F.col("key").alias("__key"), "copies").groupBy("__id", "__src", "__null", "__key").agg(F.sum("copies").alias("__copies")).where("__copies > 0")
+    rows = docs.select(*docs.columns, *one, F.coalesce(text_key(F.col(text_col)), F.lit(b"")).alias("__key"))
+    rows = rows.join(plan, ["__id", "__src", "__null", "__key"]).dropDuplicates(["__id", "__src", "__null", "__key"])
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)

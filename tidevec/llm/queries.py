@@ -13,8 +13,13 @@ from pyspark.sql import functions as F
 
 from .bitsliced import top_k
 from .decontamination import marked
+from .html_extraction import extract
+from .jaccard_join import jaccard_components
+from .line_dedup import dedup_lines
 from .mixing import mix
+from .quality import classify
 from .sharding import shard_documents
+from .suffix_dedup import remove_repeats
 from .token_counts import encoded_lengths, length_histogram
 
 
@@ -37,6 +42,31 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines of three-line windows that occurred before."""
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_lines", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, linked where 90 % of their three-word shingles are shared."""
+    out = jaccard_components(table(spark, sf_dir, "documents"), k=3, t=0.9)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 100-byte strings that start earlier."""
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best rows for every query row, whose ids are divisible by 100."""
     rows = table(spark, sf_dir, "embeddings")
@@ -53,15 +83,44 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(encoded_lengths(table(spark, sf_dir, "documents")))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the classifier's score and decision."""
+    return classify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_mixing": op1_mixing,
-    "op2_decontamination": op2_decontamination,
-    "op7_top_k": op7_top_k,
-    "op8_sharding": op8_sharding,
-    "op9_token_counts": op9_token_counts,
-}
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_decontamination, op3_line_dedup, op4_html_extraction, op5_jaccard_join,
+        op6_suffix_dedup, op7_top_k, op8_sharding, op9_token_counts, op10_quality,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": """
+        WITH l AS (
+          SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) - 1 AS i
+          FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE length(text) > 0)
+        ), w AS (
+          SELECT doc_id, i, line AS a, lead(line, 1) OVER p AS b, lead(line, 2) OVER p AS c
+          FROM l WINDOW p AS (PARTITION BY doc_id ORDER BY i)
+        ), f AS (
+          SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS nth FROM w WHERE c IS NOT NULL
+        ), r AS (
+          SELECT DISTINCT doc_id, i + o AS i FROM f, (VALUES (0), (1), (2)) t(o) WHERE nth > 1
+        ), k AS (
+          SELECT l.doc_id, l.i, l.line, r.i IS NOT NULL AS gone FROM l LEFT JOIN r ON l.doc_id = r.doc_id AND l.i = r.i
+        ), m AS (
+          SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS before FROM k
+        ), g AS (
+          SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_spans,
+                 coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept
+          FROM m GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN g USING (doc_id)
+    """,
     "op7_top_k": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
