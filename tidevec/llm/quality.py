@@ -154,8 +154,9 @@ def features(buf: np.ndarray, off: np.ndarray, doc: np.ndarray, h: np.ndarray) -
     if len(kind) >= 4:
         code = ((kind[:-3] * 13 + kind[1:-2]) * 13 + kind[2:-1]) * 13 + kind[3:]
         bucket = (code * 0x9E3779B1 >> 12) % SHAPE_BUCKETS
-        at = np.repeat(np.arange(n_docs), np.diff(off))[: len(code)]
-        shapes = np.bincount(at * SHAPE_BUCKETS + bucket, minlength=n_docs * SHAPE_BUCKETS).reshape(n_docs, -1)
+        at = np.repeat(np.arange(n_docs), np.diff(off))
+        inside = at[3:] == at[:-3]  # of one text
+        shapes = np.bincount((at[:-3] * SHAPE_BUCKETS + bucket)[inside], minlength=n_docs * SHAPE_BUCKETS).reshape(n_docs, -1)
     else:
         shapes = np.zeros((n_docs, SHAPE_BUCKETS))
     parts = []
@@ -198,8 +199,8 @@ def _judged(text: pa.Array, model) -> Iterator[tuple[int, int, np.ndarray, np.nd
     for i, j in pieces(off, 1 << 18):
         o = off[i : j + 1] - off[i]
         n, m, doc, h = measures(buf[off[i] : off[j]], o)
-        z = features(buf[off[i] : off[j]], o, doc, h) @ weights + bias
-        score = np.where(n > 0, 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30))), 0.0)
+        z = features(buf[off[i] : off[j]], o, doc, h).astype(np.float64) @ weights + bias
+        score = np.where(n > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), 0.0)
         p = np.where(n > 0, posterior[np.searchsorted(patterns, _pattern(votes(n, m)))], 0.0)
         yield i, j, n, p, np.round(score, 6)
 
@@ -253,13 +254,14 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, tol
 
 def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 80, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by accelerated gradient steps; both classes weigh the same."""
-    w, b = np.zeros(x.shape[1], np.float32), 0.0
+    w, b = np.zeros(x.shape[1]), 0.0
     if not len(x):
         return w, b
+    x, y = x.astype(np.float64), y.astype(np.float64)
     share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     if y.max() < 0.5 or y.min() >= 0.5:  # one class only
-        return w, float(np.log(share / (1 - share)))
-    weight = (y * 0.5 / share + (1 - y) * 0.5 / (1 - share)).astype(np.float32)
+        return w, float(np.round(np.log(share / (1 - share)), 6))
+    weight = y * 0.5 / share + (1 - y) * 0.5 / (1 - share)
     step = 4.0 / 3.0 / weight.max()
     pw, pb, t = w, b, 1.0
     for _ in range(rounds):
@@ -268,9 +270,9 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 80, ridge: float = 1e
         nw = (1 - ridge) * pw - step * (x.T @ g) * 10
         nb = pb - step * float(g.sum()) * 10
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        pw, pb = (nw + (t - 1) / nt * (nw - w)).astype(np.float32), nb + (t - 1) / nt * (nb - b)
-        w, b, t = nw.astype(np.float32), nb, nt
-    return w, float(b)
+        pw, pb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
+        w, b, t = nw, nb, nt
+    return np.round(w, 6), float(np.round(b, 6))  # so that reruns agree whatever the order of sums
 
 
 def fit(docs: DataFrame, text_col: str = "text", train_rows: int = 2000):
@@ -292,7 +294,7 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = 2000):
         x[r, np.frombuffer(at, np.int32)] = np.frombuffer(value, np.float32)
     patterns, posterior = np.append(patterns, np.iinfo(np.int64).max), np.append(posterior, 0.5)
     labels = posterior[np.searchsorted(patterns, sample.column("pattern").to_numpy())] if sample.num_rows else np.zeros(0)
-    weights, bias = fit_scorer(x, labels.astype(np.float32))
+    weights, bias = fit_scorer(x, labels)
     return spark.sparkContext.broadcast((weights, bias, patterns, posterior))
 
 
