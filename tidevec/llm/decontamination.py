@@ -158,5 +158,5 @@ def marked(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 def without_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that share no window with an item, with all their columns."""
     spans, _ = decontaminate(docs, items, text_col=text_col, **options)
-    bad = spans.select(F.col("key").alias("__key"))
+    bad = spans.select(F.col("key").alias("__key")).hint("merge")  # hit texts grow with the corpus
     return docs.withColumn("__key", text_key(F.col(text_col))).join(bad, "__key", "left_anti").select(*docs.columns)

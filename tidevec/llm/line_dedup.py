@@ -69,7 +69,7 @@ def dedup_lines(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_co
         F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
         F.hash(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text"),
     )
-    rows = texts.join(repeated_windows(texts, width), ["none", "id", "h"], "left")
+    rows = texts.join(repeated_windows(texts, width).hint("merge"), ["none", "id", "h"], "left")  # the same join at every size
     rows = rows.select(F.when(~F.col("none"), F.col("id")).alias("id"), "text", "starts")
     out = rows.mapInArrow(lambda it: _cut(it, width), "id long, n_lines long, spans array<struct<start: long, end: long>>, kept string")
     return out.withColumnRenamed("id", id_col)
