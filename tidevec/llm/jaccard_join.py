@@ -252,7 +252,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: float = 0.8, id_col: str
     single = F.array(tile(F.lit(0), F.lit(0), F.lit(0), F.lit(0), 0))
     homes = m.select("key", "set", F.explode(F.when(F.col("all") <= TILE, single).otherwise(many)).alias("h")).select("key", "set", "h.tile", "h.side")
     # -- texts of the candidates only, one for each class
-    wanted = texts.where("key is not null").join(members.select("key").distinct(), "key").dropDuplicates(["key"]).select("key", "text")
+    # A merge join at every size: a broadcast of few members would not outlive growth.
+    wanted = texts.where("key is not null").join(members.select("key").distinct().hint("merge"), "key").dropDuplicates(["key"]).select("key", "text")
     sent = homes.join(wanted, "key").select("tile", "set", "side", "text")
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     links = sent.repartition(n_parts, "tile").sortWithinPartitions("tile").mapInArrow(partial(_tiles, k=k, t=t), "a binary, b binary")
