@@ -96,7 +96,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BENCH_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents),
+        i AS (SELECT item_id, {_BENCH_WORDS} AS w FROM benchmark),
+        iw AS (
+          SELECT DISTINCT item_id, len, array_to_string(list_slice(w, s, s + len - 1), ' ') AS win
+          FROM (SELECT item_id, w, least(len(w), 10) AS len, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS s FROM i WHERE len(w) > 0)
+        ), dw AS (
+          SELECT doc_id, len, s, array_to_string(list_slice(w, s, s + len - 1), ' ') AS win
+          FROM (SELECT doc_id, w, len, unnest(generate_series(1, len(w) - len + 1)) AS s FROM d, (SELECT DISTINCT len FROM iw) WHERE len(w) >= len)
+        ), h AS (SELECT DISTINCT doc_id, s, dw.len, item_id FROM dw JOIN iw ON dw.len = iw.len AND dw.win = iw.win),
+        hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + len - 1)) AS p FROM h) GROUP BY doc_id),
+        hi AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT doc_id, coalesce(CAST(item_id AS VARCHAR), '') AS x FROM h) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hw ON d.doc_id = hw.doc_id LEFT JOIN hi ON d.doc_id = hi.doc_id
+    """,
+    "op5_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+        g AS (
+          SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM d
+        ), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+        e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x),
+        m AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least, d.doc_id) AS component_id
+        FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN m ON d.doc_id = a
+    """,
     "op3_line_dedup": """
         WITH l AS (
           SELECT doc_id, unnest(s) AS line, generate_subscripts(s, 1) - 1 AS i
