@@ -216,3 +216,14 @@ def test_pruning_keeps_what_no_neighbour_dominates(pts):
             if all(((x[j] - x[k]) ** 2).sum() >= d for k in kept):
                 kept.append(j)
         assert got[src] == kept
+
+
+def test_kept_clusters(pts, qs, tmp_path):
+    path, cfg = f"file://{tmp_path}/clusters", IndexConfig(dim=DIM, max_cate_size=6)
+    a = ann.kept(pts, cfg, path, 5)
+    before = a.points.inputFiles()
+    b = ann.kept(pts, cfg, path, 5)
+    assert b.points.inputFiles() == before and (b.starts, b.mapping, b.bits) == (a.starts, a.mapping, a.bits)
+    assert rows_of(ann.search(b, qs, 3, SearchConfig(nprobe=5))) == rows_of(knn.knn(pts.where(~F.col("deleted")), qs, 3))
+    c = ann.kept(pts.where("label <> 3"), cfg, path, 5)  # other rows, other clusters
+    assert c.points.inputFiles() != before

@@ -8,6 +8,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 INT_MAX = (1 << 31) - 1
+#: Keys of one block of the two-level running sums.
+BLOCK = 1 << 16
+
+
+def running(counts: DataFrame, key: str, n: str = "n", into: str = "before") -> DataFrame:
+    """``counts`` (one row a key) with the sum of ``n`` over all smaller keys.
+
+    Sums run inside blocks of ``BLOCK`` consecutive keys and over the blocks'
+    totals, so no task sorts all keys.
+    """
+    blk = F.floor(F.col(key) / BLOCK)
+    c = counts.withColumn("__blk", blk)
+    totals = c.groupBy("__blk").agg(F.sum(n).alias("__t"))
+    earlier = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("__blk", F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__off"))
+    inside = Window.partitionBy("__blk").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    out = c.withColumn("__in", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(totals, "__blk")
+    return out.withColumn(into, F.col("__off") + F.col("__in")).drop("__blk", "__off", "__in")
+
+
+def numbered(df: DataFrame, key: str, into: str) -> DataFrame:
+    """``df`` with each row's place, from 1, in order of a unique integer key; two levels as in ``running``."""
+    return running(df.withColumn("__one", F.lit(1)), key, "__one", into).drop("__one").withColumn(into, F.col(into) + 1)
 
 
 def numeric_starts(df: DataFrame, column: str, slots: int) -> list[int]:
@@ -22,9 +45,8 @@ def numeric_starts(df: DataFrame, column: str, slots: int) -> list[int]:
     total, top = counts.agg(F.sum("n"), F.max("v")).first()
     if not total:
         return [0] * slots
-    upto = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    share = F.floor(F.coalesce(F.sum("n").over(upto), F.lit(0)) * slots / F.lit(total))
-    starts = counts.withColumn("slot", share).groupBy("slot").agg(F.min("v").alias("v"))
+    share = F.floor(F.col("before") * slots / F.lit(total))
+    starts = running(counts, "v").withColumn("slot", share).groupBy("slot").agg(F.min("v").alias("v"))
     got = [r["v"] for r in starts.orderBy("slot").collect()]  # at most ``slots`` rows
     past = min(top + 1, INT_MAX)
     return got + [past] * (slots - len(got))

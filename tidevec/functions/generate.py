@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .codebook import running
+
 #: Chance of each of the 20 labels (fixed values).
 LABEL_CHANCES = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.09, 0.08, 0.07, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01, 0.001)
 
@@ -35,17 +37,21 @@ def attributes(df: DataFrame, key: str, high: int = 100_000, chances: Sequence[f
 def windows(points: DataFrame, n_queries: int, selectivity: float, labels: Sequence[int] = (), column: str = "a0") -> DataFrame:
     """(qid, lo, hi, labels): ranges over windows of ranks that hold ``selectivity`` of the rows each.
 
-    Ranks come from one ordered numbering; only the rows at window ends go on.
+    A rank's value is the one whose rows cover it: counts per value and their
+    running sums answer it without numbering rows.
     """
     n = points.count()
     width = max(1, int(n * selectivity))
-    ranks = points.select(F.col(column).alias("v"), (F.row_number().over(Window.orderBy(column, "label")) - 1).alias("rk"))
+    counts = points.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranks = running(counts, "v", into="from").withColumn("to", F.col("from") + F.col("n"))
     start = F.pmod(F.col("id") * F.lit(7919) + F.lit(13), F.lit(max(1, n - width + 1)))
     q = points.sparkSession.range(n_queries).select(F.col("id").alias("qid"), start.alias("s"), (start + F.lit(width - 1)).alias("e"))
-    lo = ranks.select(F.col("rk").alias("s"), F.col("v").alias("lo"))
-    hi = ranks.select(F.col("rk").alias("e"), F.col("v").alias("hi"))
+    lo = ranks.select(F.col("from").alias("f1"), F.col("to").alias("t1"), F.col("v").alias("lo"))
+    hi = ranks.select(F.col("from").alias("f2"), F.col("to").alias("t2"), F.col("v").alias("hi"))
+    q = F.broadcast(q.limit(100_000))  # the queries asked for
     lab = F.array(*[F.lit(int(x)) for x in labels]) if labels else F.array().cast("array<int>")
-    return q.join(lo, "s").join(hi, "e").select("qid", "lo", "hi", lab.alias("labels"))
+    q = lo.join(q, (F.col("s") >= F.col("f1")) & (F.col("s") < F.col("t1")))
+    return hi.join(F.broadcast(q), (F.col("e") >= F.col("f2")) & (F.col("e") < F.col("t2"))).select("qid", "lo", "hi", lab.alias("labels"))
 
 
 def dnf(points: DataFrame, n_queries: int, specs: Sequence[dict]) -> DataFrame:

@@ -9,11 +9,13 @@ recall is approximate.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codebook as C
@@ -112,6 +114,29 @@ def summarise(rows: DataFrame, starts: list[int], mapping: dict[int, int], cfg:
     return ClusterIndex(rows, clusters, starts, mapping, cfg, bits)
 
 
+def fingerprint(points: DataFrame, cfg: IndexConfig, n_clusters: int | None) -> str:
+    """What a kept clustering depends on: the rows, whatever their order, and the settings."""
+    h = F.xxhash64("label", "vector", "a0", "a1", "deleted")
+    r = points.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first()
+    return f"{list(r)} {cfg.manifest()} {n_clusters}"
+
+
+def kept(points: DataFrame, cfg: IndexConfig, path: str, n_clusters: int | None = None) -> ClusterIndex:
+    """``build``, or what an earlier call left under ``path`` for the same rows and settings."""
+    spark = points.sparkSession
+    mark = fingerprint(points, cfg, n_clusters)
+    try:
+        meta = json.loads(spark.read.text(f"{path}/identity").first()["value"])
+    except AnalysisException:
+        meta = {}
+    if meta.get("fingerprint") != mark:
+        index = build(points, cfg, n_clusters)
+        index.points.write.mode("overwrite").parquet(f"{path}/points")
+        meta = {"fingerprint": mark, "starts": index.starts, "mapping": sorted(index.mapping.items()), "bits": index.bits}
+        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/identity")
+    return summarise(spark.read.parquet(f"{path}/points"), meta["starts"], {int(a): int(b) for a, b in meta["mapping"]}, cfg, meta["bits"])
+
+
 def probes(index: ClusterIndex, queries: DataFrame, search: SearchConfig, terms: list | None = None, modes: list | None = None) -> DataFrame:
     """(qid, cluster_id): the clusters each query looks into.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
+from ..functions.codebook import numbered
 
 
 def upsert(points: DataFrame, rows: DataFrame) -> DataFrame:
@@ -61,8 +62,8 @@ def undelete(points: DataFrame, labels: DataFrame, cleaned: bool = False) -> Dat
 
 def replaced(points: DataFrame, rows: DataFrame) -> DataFrame:
     """New labels take the room of tombstoned records, smallest labels first; what is over is appended."""
-    dead = points.where("deleted").withColumn("__n", F.row_number().over(Window.orderBy("label")))
-    new = rows.withColumn("__n", F.row_number().over(Window.orderBy("label")))
+    dead = numbered(points.where("deleted").select("label"), "label", "__n")
+    new = numbered(rows.select("label"), "label", "__n")
     gone = dead.join(new.select("__n"), "__n", "left_semi").select("label")
     kept = points.join(gone, "label", "left_anti")
     return kept.unionByName(rows.select(*[c for c in points.columns if c in rows.columns], *([] if "deleted" in rows.columns else [F.lit(False).alias("deleted")])), allowMissingColumns=True).select(*points.columns)

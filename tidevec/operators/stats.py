@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codebook import running
 from ..functions.predicates import matches
 
 
 def attr_rank(points: DataFrame, column: str = "a0", id_col: str = "label") -> DataFrame:
     """(label, v, rk): the place, from 0, in order of (value, id).
 
-    Rows are counted per value first, so the one global numbering runs over
-    distinct values and the rest inside each value.
+    Rows are counted per value first; running sums over the values, in two
+    levels, give each value's offset, and rows are numbered inside their value.
     """
     counts = points.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("v", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    offsets = running(counts, "v", into="off").select("v", "off")
     rows = points.select(F.col(id_col).alias("label"), F.col(column).alias("v")).join(offsets, "v")
     inside = Window.partitionBy("v").orderBy("label")
     return rows.select("label", "v", (F.col("off") + F.row_number().over(inside) - 1).cast("long").alias("rk"))
@@ -25,8 +25,7 @@ def attr_rank(points: DataFrame, column: str = "a0", id_col: str = "label") -> D
 def range_counts(points: DataFrame, ranges: DataFrame, column: str = "a0") -> DataFrame:
     """(qid, n): rows in [lo, hi] for each row (qid, lo, hi) of ``ranges``.
 
-    Counts per value are summed up in order, and each range takes the
-    difference of the two sums at its ends.
+    Rows are counted per value before they meet the ranges.
     """
     counts = points.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     got = ranges.join(counts, F.col("v").between(F.col("lo"), F.col("hi")), "left")
