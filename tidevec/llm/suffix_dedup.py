@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import U, flat, mixed, pieces, powers, prefix_sums, run_hash
-from ._util import shared_dir, written
+from ._util import discarded, shared_dir, written
 
 #: Bytes of an anchor's hash.
 GRAM = 24
@@ -112,14 +112,12 @@ SURROUND = "id long, h int, g long, c long, first long, last long, bytes binary"
 
 def _surroundings(batches: Iterator[pa.RecordBatch], span: int, table) -> Iterator[pa.RecordBatch]:
     """(id, h, text) to the anchors that the bit table lets through, with their surroundings."""
-    bits = np.frombuffer(table.value, np.uint64)
     for b in batches:
         buf, off = flat(b.column(2))
         for rows, o in _segments(off, span):
             base = int(o[0])
             at, first, last, g, sums = anchors_of(buf[base : int(o[-1])], o - base, span)
-            cell = g >> U(64 - TABLE_BITS)
-            on = np.flatnonzero((bits[(cell >> U(6)).astype(np.int64)] >> (cell & U(63))) & U(1))
+            on = np.flatnonzero(in_table(table, g))
             if not len(on):
                 continue
             at, first, last, g = at[on], first[on], last[on], g[on]
@@ -258,32 +256,74 @@ def _windows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["w", "id", "h", "start"])
 
 
+def bit_table(hashes: DataFrame):
+    """A broadcast table of 2 ** TABLE_BITS bits, set for the 64-bit hashes ``x`` of a DataFrame.
+
+    At most 2 ** (TABLE_BITS - 6) words come to the driver, however many hashes there are.
+    """
+    spark = hashes.sparkSession
+    cell = F.shiftrightunsigned("x", 64 - TABLE_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(x, {64 - TABLE_BITS}) & 63 as int))")
+    got = hashes.groupBy(F.shiftright(cell, 6).alias("at")).agg(F.bit_or(bit).alias("v")).toArrow()
+    bits = np.zeros(1 << (TABLE_BITS - 6), np.int64)
+    bits[got.column("at").to_numpy()] = got.column("v").to_numpy()
+    return spark.sparkContext.broadcast(bits.tobytes())
+
+
+def in_table(table, x: np.ndarray) -> np.ndarray:
+    """Which hashes may be in a bit table."""
+    bits = np.frombuffer(table.value, np.uint64)
+    cell = x >> U(65 - (64 * len(bits)).bit_length())
+    return ((bits[(cell >> U(6)).astype(np.int64)] >> (cell & U(63))) & U(1)).astype(bool)
+
+
+def _both(g: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """One hash of an anchor and its surroundings."""
+    return mixed(g.view(np.uint64) * U(0x9E3779B97F4A7C15) + c.view(np.uint64))
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(g, c) to (x)."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(_both(b.column(0).to_numpy(), b.column(1).to_numpy()).view(np.int64))], ["x"])
+
+
+def _likely(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
+    """Rows (g, c, ...) whose pair of hashes may be in the table."""
+    for b in batches:
+        if b.num_rows:
+            yield b.filter(pa.array(in_table(table, _both(b.column(0).to_numpy(), b.column(1).to_numpy()))))
+
+
 def repeated_spans(texts: DataFrame, span: int = 100) -> DataFrame:
-    """(id, h, start, end): byte spans, possibly overlapping, of ``texts`` (id, h, text) that also stand earlier."""
+    """(none, idk, h, spans): per document of ``texts`` (id, h, text) the byte spans, possibly overlapping, that also stand earlier.
+
+    ``none`` says that the id is null, ``idk`` is the id or 0.  A document has a few spans for each anchor at most.
+    """
     spark = texts.sparkSession
     shared_dir(spark)
     counted = texts.mapInArrow(lambda it: _counted(it, span), "g long, n int")
     twice = counted.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")
     twice = written(twice, "suf-anchors")
-    # -- bit table of fixed size: 2 ** (TABLE_BITS - 6) words at most
-    cell = F.shiftrightunsigned("g", 64 - TABLE_BITS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(g, {64 - TABLE_BITS}) & 63 as int))")
-    got = twice.groupBy(F.shiftright(cell, 6).alias("at")).agg(F.bit_or(bit).alias("v")).toArrow()
-    bits = np.zeros(1 << (TABLE_BITS - 6), np.int64)
-    bits[got.column("at").to_numpy()] = got.column("v").to_numpy()
-    table = spark.sparkContext.broadcast(bits.tobytes())
+    n_twice = twice.count()
+    table = bit_table(twice.select(F.col("g").alias("x")))
     near = texts.mapInArrow(lambda it: _surroundings(it, span, table), SURROUND)
-    near = written(near.join(twice, "g"), "suf-near")
+    if n_twice > 1 << (TABLE_BITS - 3):
+        # The table is too full to tell: drop the anchors that occur once here, to send fewer of them below.
+        near = near.join(twice, "g")
+    near = written(near, "suf-near")
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "first")
-    kinds = near.groupBy("g", "c").agg(F.min(place).alias("lead"))
-    rivals = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("rivals"))
-    kinds = written(kinds.join(rivals, "g"), "suf-kinds")
+    kinds = near.groupBy("g", "c").agg(F.min(place).alias("lead"), F.count(F.lit(1)).alias("n"))
+    rivals = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("rivals"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    kinds = written(kinds.select("g", "c", "lead").join(rivals.select("g", "rivals"), "g"), "suf-kinds")
     seen = near.select("id", "h", "g", "c", "first", "last").join(kinds.select("g", "c", "lead"), ["g", "c"])
     whole = seen.where(place != F.col("lead")).select("id", "h", F.col("first").alias("start"), (F.col("last") + span).alias("end"))
     # -- first occurrences whose anchor has other surroundings too
-    rest = kinds.where("rivals > 1").select("g", "c", "lead.none", "lead.id", "lead.h", "lead.first", "rivals")
-    left = near.withColumn("none", F.col("id").isNull()).withColumn("id0", F.coalesce("id", F.lit(0))).drop("id", "last")
-    rest = rest.withColumn("id0", F.coalesce("id", F.lit(0)))
+    contested = kinds.where("rivals > 1")
+    pairs = bit_table(contested.select("g", "c").mapInArrow(_pairs, "x long"))
+    left = near.select("g", "c", "id", "h", "first", "bytes")
+    left = left.mapInArrow(lambda it: _likely(it, pairs), left.schema).withColumn("none", F.col("id").isNull()).withColumn("id0", F.coalesce("id", F.lit(0))).drop("id")
+    rest = contested.select("g", "c", "lead.none", "lead.id", F.coalesce("lead.id", F.lit(0)).alias("id0"), "lead.h", "lead.first", "rivals")
     rest = left.join(rest, ["g", "c", "none", "id0", "h", "first"]).dropDuplicates(["g", "c", "none", "id0", "h", "first"])
     rest = written(rest.select("g", "id", "h", "first", "bytes", "rivals"), "suf-rest")
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -292,13 +332,18 @@ def repeated_spans(texts: DataFrame, span: int = 100) -> DataFrame:
     ends = few.mapInArrow(lambda it: _sorted_groups(it, span), "id long, h int, start long, end long")
     hot = rest.where(F.col("rivals") > HOT).select(*cols)
     found = whole.unionByName(ends)
+    tables = [twice, near, kinds, rest]
     if not hot.isEmpty():
         wins = written(hot.mapInArrow(lambda it: _windows(it, span), "w binary, id long, h int, start long"), "suf-windows")
         here = F.struct(F.col("id").isNull().alias("none"), "id", "h", "start")
+        tables.append(wins)
         lead = wins.groupBy("w").agg(F.min(here).alias("lead"))
         late = wins.join(lead, "w").where(here != F.col("lead"))
         found = found.unionByName(late.select("id", "h", "start", (F.col("start") + span).alias("end")))
-    return found
+    per = found.withColumn("idk", F.coalesce("id", F.lit(0))).withColumn("none", F.col("id").isNull())
+    per = written(per.groupBy("none", "idk", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "suf-spans")
+    discarded(*tables)
+    return per
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,10 +375,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, span: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, spans (merged, in bytes), kept (the remaining bytes)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(F.col(text_col)).alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = repeated_spans(texts, span)
-    # Spans of a document, merged where they touch as far as one group goes; at most a few for each anchor.
-    per = found.withColumn("idk", F.coalesce("id", F.lit(0))).withColumn("none", F.col("id").isNull())
-    per = per.groupBy("none", "idk", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    per = repeated_spans(texts, span).hint("merge")  # the same join at every size
     rows = texts.withColumn("idk", F.coalesce("id", F.lit(0))).withColumn("none", F.col("id").isNull())
     rows = rows.join(per, ["none", "idk", "h"], "left").select("id", "text", "spans")
     out = rows.mapInArrow(_cut, "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
