@@ -72,6 +72,7 @@ def test_jaccard_components(docs, k, t):
 def test_jaccard_tiles(docs, monkeypatch):
     """Clusters that need many tiles."""
     monkeypatch.setattr(jaccard_join, "TILE", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 2)
     out = jaccard_components(docs, 3, 0.7)
     want = brute.components(ROWS, 3, 70)
     assert by_text(docs, out, ("doc_id", "component_id")) == sorted(((r[0], w[1]) for r, w in zip(ROWS, want)), key=repr)
@@ -90,6 +91,20 @@ def test_links_at_the_threshold():
             assert set(jaccard_join.part_keys(x, 0.8).tolist()) & set(jaccard_join.part_keys(y, 0.8).tolist())
 
 
+def test_bound_lets_links_through():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        n = int(rng.integers(1, 400))
+        a = np.unique(jaccard_join.mixed(rng.integers(0, 10**6, n).astype(np.uint64)))
+        keep = a[rng.random(len(a)) < rng.uniform(0.7, 1)]
+        b = np.unique(np.concatenate([keep, jaccard_join.mixed(rng.integers(10**6, 10**7, int(rng.integers(0, 1 + n // 8))).astype(np.uint64))]))
+        shared = len(np.intersect1d(a, b))
+        apart = int(np.bitwise_count(jaccard_join.signature(a) ^ jaccard_join.signature(b)).sum())
+        for t in (0.7, 0.8, 0.9):
+            if len(b) and jaccard_join.links_at(shared, len(a), len(b), t):
+                assert jaccard_join.may_link(np.array([len(a)]), np.array([len(b)]), np.array([apart]), t)[0]
+
+
 def test_keep_one(docs):
     kept = keep_one(docs, 3, 0.9)
     assert kept.columns == docs.columns
