@@ -7,13 +7,14 @@ band are dealt by hash to more parts than that, some part is the same in both:
 classes that share a part's content become candidates.  That needs no caps, and
 words or passages that many documents hold make no candidates by themselves.
 
-Candidates that hang together are dealt to tiles: pairs of blocks of at most
-``TILE`` classes of one or of neighbouring size bands, so no task gets more
-than two blocks.  Inside a tile, hashed bitmap signatures bound each overlap
-from above (shingles in which the bitmaps differ can't be shared); pairs that
-the bound lets through and that nothing has linked yet are decided by
-intersecting their sorted arrays.  Tiles return a spanning forest of the
-links; its components are the result.
+Hashed bitmap signatures bound each overlap from above (shingles in which the
+bitmaps differ can't be shared).  Among the classes that share a part only
+signatures are compared, in blocks where there are many, and what the bound
+lets through hangs together in clusters.  A cluster is dealt to tiles: pairs of
+blocks of at most ``TILE`` classes of one or of neighbouring size bands, so no
+task gets more than two blocks.  Inside a tile, pairs within the bound that
+nothing has linked yet are decided by intersecting their sorted arrays.  Tiles
+return a spanning forest of the links; its components are the result.
 
 Defined results: a text of fewer than ``k`` words has one shingle, all its
 words; a null or wordless text has none, is linked with nothing and is its own
@@ -39,6 +40,8 @@ from ._util import text_key, written
 
 #: Classes of a block; a tile has two blocks at most.
 TILE = 512
+#: The same for groups of classes that share a part, of which only signatures are compared.
+BLOCK = 1024
 #: Sizes of a band grow by this factor.
 BAND = 1.5
 #: Parts beyond the number that a link can differ in, so that empty parts need no key.
@@ -129,35 +132,111 @@ def set_id(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _described(batches: Iterator[pa.RecordBatch], k: int, t: float) -> Iterator[pa.RecordBatch]:
-    """(key, id, text) to (key, id, n, set, parts); of a task's copies only the first has parts."""
+def signature(s: np.ndarray) -> np.ndarray:
+    """The hashed bitmap of a set, as words."""
+    bits = np.zeros(SIGNATURE, bool)
+    bits[(s >> U(20)) % U(SIGNATURE)] = True
+    return np.packbits(bits).view(np.uint64)
+
+
+def may_link(size_a: np.ndarray, size_b: np.ndarray, apart: np.ndarray, t: float) -> np.ndarray:
+    """Whether sets whose signatures differ in ``apart`` bits can be as similar as ``t``: the bits bound the overlap from above."""
+    both = size_a + size_b
+    most = np.minimum((both - apart) // 2, np.minimum(size_a, size_b))
+    return most * (1 + t) >= t * both - 1e-6
+
+
+def _forest(nodes: np.ndarray, size: np.ndarray, sig: np.ndarray, side: np.ndarray, t: float) -> list[tuple[int, int]]:
+    """Edges that connect what the bound lets through among the classes of one group."""
+    root = np.arange(len(nodes))
+    out = []
+    for i in range(1, len(nodes)):
+        near = np.arange(i)
+        near = near[(root[:i] != root[i]) & ((side[:i] == 0) | (side[:i] != side[i]))]
+        if not len(near):
+            continue
+        apart = np.bitwise_count(sig[near] ^ sig[i]).sum(axis=1).astype(np.int64)
+        for j in near[may_link(size[near], size[i], apart, t)]:
+            if root[j] != root[i]:
+                out.append((int(nodes[i]), int(nodes[j])))
+                root[root == root[j]] = root[i]
+    return out
+
+
+def _bounded(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordBatch]:
+    """Rows (tile, side, node, n, sig) in order of tile, to edges (a, b) between classes that may link."""
+    held: list[np.ndarray] | None = None
+
+    def solve(cols: list[np.ndarray], cut: np.ndarray) -> list[tuple[int, int]]:
+        tile, side, node, size, sig = cols
+        lens = np.diff(cut)
+        two = cut[:-1][lens == 2]  # most groups: all at once
+        apart = np.bitwise_count(sig[two] ^ sig[two + 1]).sum(axis=1).astype(np.int64) if len(two) else np.zeros(0, np.int64)
+        ok = two[may_link(size[two], size[two + 1], apart, t) & (node[two] != node[two + 1])]
+        out = list(zip(node[ok].tolist(), node[ok + 1].tolist()))
+        for a, b in zip(cut[:-1][lens > 2].tolist(), cut[1:][lens > 2].tolist()):
+            out += _forest(node[a:b], size[a:b], sig[a:b], side[a:b], t)
+        return out
+
+    def batch(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        x = np.array(sorted({(min(e), max(e)) for e in out}), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        sig = flat(b.column(4))[0].reshape(b.num_rows, SIGNATURE // 8).view(np.uint64)
+        cols = [*(b.column(k).to_numpy() for k in range(4)), sig]
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        starts = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+        last = int(starts[-1])  # its group may go on in the next batch
+        held = [x[last:] for x in cols]
+        yield batch(solve([x[:last] for x in cols], starts))
+    if held is not None:
+        yield batch(solve(held, np.array([0, len(held[0])])))
+
+
+def _described(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(key, id, text) to (key, id, n, set, sig); of a task's copies only the first has a signature."""
     seen: set[bytes] = set()
     for b in batches:
         buf, off = flat(b.column(2))
         for i, j in pieces(off):
-            sizes, ids, keys = [], [], []
+            sizes, ids, sigs = [], [], []
             for s in shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k):
                 sizes.append(len(s))
                 ids.append(set_id(s) if len(s) else None)
-                keys.append(part_keys(s, t) if len(s) and ids[-1] not in seen else np.zeros(0, np.uint64))
+                sigs.append(signature(s).tobytes() if len(s) and ids[-1] not in seen else None)
                 seen.add(ids[-1])
-            lens = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
-            parts = pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate(keys).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), parts],
-                ["key", "id", "n", "set", "parts"],
+                [b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(sigs, pa.binary())],
+                ["key", "id", "n", "set", "sig"],
             )
 
 
+def _parted(batches: Iterator[pa.RecordBatch], k: int, t: float) -> Iterator[pa.RecordBatch]:
+    """(text) to (node, part): the part keys of each set, once for a task's copies."""
+    seen: set[bytes] = set()
+    for b in batches:
+        buf, off = flat(b.column(0))
+        for i, j in pieces(off):
+            nodes, keys = [], []
+            for s in shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k):
+                if len(s) and (x := set_id(s)) not in seen:
+                    seen.add(x)
+                    keys.append(part_keys(s, t))
+                    nodes.append(np.full(len(keys[-1]), int.from_bytes(x[:8], "big", signed=True), np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(keys).view(np.int64))], ["node", "part"])
+
+
 def tile_links(ids: list[bytes], sets: list[np.ndarray], sides: list[int], t: float) -> list[tuple[bytes, bytes]]:
     """A spanning forest of the links of a tile.  Sides 1 and 2 are two blocks, only pairs across are looked at; side 0 is one block."""
     order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), ids[i]))
     ids, sets, side = [ids[i] for i in order], [sets[i] for i in order], np.array([sides[i] for i in order])
     size = np.array([len(s) for s in sets], np.int64)
-    sig = np.zeros((len(sets), SIGNATURE), bool)
-    for i, s in enumerate(sets):
-        sig[i, (s >> U(20)) % U(SIGNATURE)] = True
-    sig = np.packbits(sig, axis=1).view(np.uint64)
+    sig = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, SIGNATURE // 64), np.uint64)
     root = np.arange(len(sets))
     links = []
     for i in range(1, len(sets)):
@@ -168,9 +247,7 @@ def tile_links(ids: list[bytes], sets: list[np.ndarray], sides: list[int], t: fl
         if side[i]:
             near = near[side[lo:i] != side[i]]
         apart = np.bitwise_count(sig[near] ^ sig[i]).sum(axis=1).astype(np.int64)
-        both = size[near] + size[i]
-        most = (both - apart) // 2  # of the shingles shared
-        near = near[most * (1 + t) >= t * both - 1e-6]
+        near = near[may_link(size[near], size[i], apart, t)]
         for j in near[np.argsort(-near, kind="stable")]:
             if root[j] == root[i]:
                 continue
@@ -218,14 +295,29 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: float = 0.8, id_col: str
     """One row per row of ``docs``: id, n_shingles, component_id, key (of the text)."""
     spark = docs.sparkSession
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.mapInArrow(partial(_described, k=k, t=t), "key binary, id long, n long, set binary, parts array<long>")
+    rows = texts.mapInArrow(partial(_described, k=k), "key binary, id long, n long, set binary, sig binary")
     rows = written(rows, "jac-rows")
     base = rows.select("key", "id", "n", "set")
     # Nodes of the candidate graph are 64 bits of the class id: a collision there only makes a candidate.
     node = F.conv(F.hex(F.substring("set", 1, 8)), 16, -10).cast("long")
-    parts = rows.where("size(parts) > 0").select(node.alias("node"), F.explode("parts").alias("part"))
-    hubs = parts.withColumn("hub", F.min("node").over(Window.partitionBy("part"))).where("node <> hub")
-    clusters = components(hubs.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    # The texts are read again for their parts: those take more room than the texts.
+    parts = texts.select("text").mapInArrow(partial(_parted, k=k, t=t), "node long, part long")
+    # -- classes that share a part, in groups; a large group is cut into pairs of blocks
+    own = Window.partitionBy("part")
+    shared = parts.select("part", "node", F.min("node").over(own).alias("lo"), F.max("node").over(own).alias("hi"), F.count(F.lit(1)).over(own).alias("c"))
+    shared = shared.where("lo <> hi").withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
+    pair = lambda i, j, side: F.struct(F.xxhash64("part", i, j).alias("tile"), F.lit(side).alias("side"))
+    s = F.col("blk")
+    blocks_of = F.transform(
+        F.sequence(F.lit(0), F.col("nb") - 1),
+        lambda x: F.when(x == s, pair(s, s, 0)).when(x > s, pair(s, x, 1)).otherwise(pair(x, s, 2)),
+    )
+    grouped = shared.select("node", F.inline(blocks_of)).distinct()
+    sigs = rows.where("sig is not null").groupBy(node.alias("node")).agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    grouped = grouped.join(sigs.hint("merge"), "node").select("tile", "side", "node", "n", "sig")
+    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    close = grouped.repartition(n_parts, "tile").sortWithinPartitions("tile", "n").mapInArrow(partial(_bounded, t=t), "a long, b long")
+    clusters = components(written(close, "jac-close"))
     classes = base.where("n > 0").groupBy("set").agg(F.min("key").alias("key"), F.min("n").alias("n")).withColumn("node", node)
     members = written(classes.join(clusters, "node").select("set", "key", "n", F.col("root").alias("cluster")), "jac-members")
     # -- tiles
@@ -255,7 +347,6 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: float = 0.8, id_col: str
     # A merge join at every size: a broadcast of few members would not outlive growth.
     wanted = texts.where("key is not null").join(members.select("key").distinct().hint("merge"), "key").dropDuplicates(["key"]).select("key", "text")
     sent = homes.join(wanted, "key").select("tile", "set", "side", "text")
-    n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     links = sent.repartition(n_parts, "tile").sortWithinPartitions("tile").mapInArrow(partial(_tiles, k=k, t=t), "a binary, b binary")
     linked = components(written(links, "jac-links"))
     # -- classes, then rows
