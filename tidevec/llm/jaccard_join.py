@@ -312,7 +312,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, t: float = 0.8, id_col: str
         F.sequence(F.lit(0), F.col("nb") - 1),
         lambda x: F.when(x == s, pair(s, s, 0)).when(x > s, pair(s, x, 1)).otherwise(pair(x, s, 2)),
     )
-    grouped = shared.select("node", F.inline(blocks_of)).distinct()
+    grouped = written(shared.select("node", F.inline(blocks_of)).distinct(), "jac-groups")  # the parts' shuffle goes before signatures are sent
     sigs = rows.where("sig is not null").groupBy(node.alias("node")).agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
     grouped = grouped.join(sigs.hint("merge"), "node").select("tile", "side", "node", "n", "sig")
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
