@@ -1,7 +1,10 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidevec import catalog
 from tidevec.functions import distance as D
 from tidevec.functions import predicates as P
 from tidevec.operators import ann, evaluate, graph, knn
@@ -203,6 +206,27 @@ def test_graph(pts, qs):
     assert evaluate.recall(found, truth, 10).agg(F.avg("recall")).first()[0] >= 0.8
 
 
+def test_registered_graph_search_recall(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no test tables")
+    p = catalog.points(spark, sf_dir)
+    q = catalog.query_rows(p)
+    truth = knn.knn(p.where(~F.col("deleted")), q, 10)
+    per = evaluate.recall(catalog.graph_search(spark, sf_dir), truth, 10).collect()
+    assert len(per) == q.count() == 20
+    assert sum(r["recall"] for r in per) / len(per) >= 0.97
+
+
+def test_graph_search_reaches_parts_that_no_edge_joins(spark, pts):
+    halves = pts.withColumn("vector", F.transform("vector", lambda x: x + F.when(F.col("label") < N // 2, 100.0).otherwise(0.0).cast("float")))
+    q = halves.where("label in (1, 599)").select(F.col("label").alias("qid"), "vector")
+    both = graph.cut(graph.connected(graph.knn_graph(halves, 8), halves, 16))
+    found = graph.search(both, halves, q, graph.spread_entries(halves), 10, 60)
+    truth = knn.knn(halves.where(~F.col("deleted")), q, 10)
+    assert min(r["recall"] for r in evaluate.recall(found, truth, 10).collect()) >= 0.8
+
+
 def test_pruning_keeps_what_no_neighbour_dominates(pts):
     e = graph.knn_graph(pts, 10)
     got = {}

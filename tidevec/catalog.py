@@ -613,9 +613,10 @@ def nsw_build(spark, sf_dir):
 
 @query()
 def graph_search(spark, sf_dir):
-    p, e = edges(spark, sf_dir)
-    both = graph.cut(graph.connected(e, p, 2 * M_EDGES))
-    return graph.search(both, p, query_rows(p, 5), 0, K, 32)
+    p = points(spark, sf_dir)
+    wide = graph.knn_graph(p, 4 * M_EDGES)  # pruning needs more candidates than the edges it keeps
+    both = graph.cut(graph.connected(wide, p, 2 * M_EDGES))
+    return graph.search(both, p, query_rows(p), graph.spread_entries(p), K, 32)
 
 
 @query()

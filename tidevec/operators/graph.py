@@ -280,15 +280,25 @@ def diverse_tail(points: DataFrame, seeds: DataFrame, k_top: int, k_tail: int, m
     return kept.withColumn("nth", nth).where(F.col("nth") <= k_tail).select("src", "dst", "dist")
 
 
-def search(edges: DataFrame, points: DataFrame, queries: DataFrame, entry: int, k: int = 10, ef: int = 64, metric: str = "l2", max_rounds: int = 64) -> DataFrame:
+def spread_entries(points: DataFrame) -> DataFrame:
+    """(label) of about sqrt(rows) points picked by hash, one at least: entries to every part of a graph."""
+    n = points.count()
+    h = F.xxhash64("label")
+    first = points.orderBy(h, "label").limit(1).select("label")
+    return first.union(points.where(F.pmod(h, F.lit(max(1, int(n**0.5)))) == 0).select("label")).distinct()
+
+
+def search(edges: DataFrame, points: DataFrame, queries: DataFrame, entry: int | DataFrame, k: int = 10, ef: int = 64, metric: str = "l2", max_rounds: int = 64) -> DataFrame:
     """Best-first graph search of a batch of queries, as rounds of frontier joins.
 
-    Each query keeps its ``ef`` best points; a round expands those not expanded
-    yet.  It ends when no query finds a better point.  (qid, rk, label, dist) of live points.
+    It starts from one point or from the points of a table (label).  Each query
+    keeps its ``ef`` best points; a round expands those not expanded yet.  It
+    ends when no query finds a better point.  (qid, rk, label, dist) of live points.
     """
     q = queries.select("qid", F.col("vector").alias("qv"))
     v = points.select("label", "vector")
-    start = q.crossJoin(v.where(F.col("label") == entry)).select("qid", "label", D.distance(metric, F.col("qv"), F.col("vector")).alias("dist"), F.lit(False).alias("done"))
+    first = v.join(F.broadcast(entry.select("label")), "label", "left_semi") if isinstance(entry, DataFrame) else v.where(F.col("label") == entry)
+    start = q.crossJoin(first).select("qid", "label", D.distance(metric, F.col("qv"), F.col("vector")).alias("dist"), F.lit(False).alias("done"))
     pool = cut(start)
     best = Window.partitionBy("qid").orderBy("dist", "label")
     for _ in range(max_rounds):
