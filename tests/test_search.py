@@ -116,6 +116,17 @@ def test_epsilon(pts, qs):
     assert [(r["label"], r["dist"]) for r in knn.epsilon(pts, self_q, 1e-4).collect()] == [(3, 0.0)]
 
 
+@pytest.mark.parametrize("blocks", [False, True])
+def test_epsilon_has_no_cap(spark, blocks, monkeypatch):
+    if blocks:
+        monkeypatch.setattr(knn, "MAX_BROADCAST_QUERIES", 1)
+    p = spark.range(12_000).select(F.col("id").alias("label"), F.array(F.col("id").cast("float") / 12_000, F.lit(0.0).cast("float")).alias("vector"))
+    q = p.where("label in (0, 5000)").select(F.col("label").alias("qid"), "vector")
+    got = {r["qid"]: (r["n"], r["last"]) for r in knn.epsilon(p, q, 2.0).groupBy("qid").agg(F.count("label").alias("n"), F.max("rk").alias("last")).collect()}
+    assert got == {0: (12_000, 12_000), 5000: (12_000, 12_000)}
+    assert knn.epsilon(p, q, 2.0, 7).count() == 14
+
+
 def test_documents(pts, qs):
     got = {}
     for r in knn.by_document(pts, qs, 5, ef=5).collect():

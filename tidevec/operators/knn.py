@@ -48,8 +48,8 @@ def _masks(terms: list, a0: np.ndarray, masks: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best(qids: np.ndarray, q: np.ndarray, terms: list | None, labels: np.ndarray, x: np.ndarray, a0, masks, metric: str, k: int, self_excluded: bool, limit: float | None) -> list[tuple]:
-    """The k best rows of a block for each query: candidates by a matrix product, then exact distances in order."""
+def _best(qids: np.ndarray, q: np.ndarray, terms: list | None, labels: np.ndarray, x: np.ndarray, a0, masks, metric: str, k: int | None, self_excluded: bool, limit: float | None) -> list[tuple]:
+    """The k best rows of a block for each query, or with a limit and no k all within it: candidates by a matrix product, then exact distances in order."""
     out = []
     for a in range(0, len(qids), CHUNK_QUERIES):
         block = D.rough(metric, q[a : a + CHUNK_QUERIES], x)
@@ -81,14 +81,16 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["qid", "label", "dist"]).astype({"qid": "int64", "label": "int64", "dist": "float64"})
 
 
-def knn(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", predicate: Column | None = None, terms: str | None = None, self_excluded: bool = False, limit: float | None = None) -> DataFrame:
+def knn(points: DataFrame, queries: DataFrame, k: int | None = 10, metric: str = "l2", predicate: Column | None = None, terms: str | None = None, self_excluded: bool = False, limit: float | None = None) -> DataFrame:
     """(qid, rk, label, dist) of the ``k`` nearest points of each query (qid, vector).
 
     ``predicate`` is one filter for all queries, which Catalyst pushes to the
     scan; ``terms`` names a column of ``queries`` with each query's own
     disjunction.  Fewer than ``k`` points give fewer rows.  With ``limit`` only
-    distances up to it count.
+    distances up to it count, and ``k`` may be None for all of them.
     """
+    if k is None and limit is None:
+        raise ValueError("k or limit is needed")
     if predicate is not None:
         points = points.where(predicate)
     mask = F.expr("aggregate(filter(a1, x -> x >= 0 and x < 63), 0L, (m, x) -> m | shiftleft(1L, x))")
@@ -119,6 +121,10 @@ def knn(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2",
         def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held: list[tuple] = []
             for pdf in it:
+                if k is None:  # nothing to choose from, so nothing is held
+                    for a in range(0, len(pdf), CHUNK_ROWS):
+                        yield _frame(run(sent.value, pdf.iloc[a : a + CHUNK_ROWS]))
+                    continue
                 held += run(sent.value, pdf)
                 if len(held) > 4 * k * max(1, len(sent.value)):
                     held = _frame(held).sort_values(["qid", "dist", "label"]).groupby("qid").head(k).itertuples(index=False, name=None)
@@ -130,6 +136,8 @@ def knn(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2",
         n = queries.count()
         q_blocks = -(-n // BLOCK_QUERIES)
         p_blocks = max(1, points.rdd.getNumPartitions())
+        if k is None:  # a pair of blocks sends on all it finds
+            p_blocks = max(p_blocks, -(-points.count() // (4 * CHUNK_ROWS)))
         qs = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1))))
         ps = points.withColumn("pb", F.pmod(F.xxhash64("label"), F.lit(p_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
@@ -173,8 +181,8 @@ def strict(result: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return result.join(F.broadcast(ok)).drop("least")
 
 
-def epsilon(points: DataFrame, queries: DataFrame, limit: float, max_candidates: int = 10_000, metric: str = "l2", predicate: Column | None = None) -> DataFrame:
-    """All points within ``limit`` (for l2: squared), the nearest ``max_candidates`` of them."""
+def epsilon(points: DataFrame, queries: DataFrame, limit: float, max_candidates: int | None = None, metric: str = "l2", predicate: Column | None = None) -> DataFrame:
+    """All points within ``limit`` (for l2: squared), or the nearest ``max_candidates`` of them if that is given."""
     return knn(points, queries, max_candidates, metric, predicate, limit=limit)
 
 

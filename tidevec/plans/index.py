@@ -106,7 +106,7 @@ class VectorIndex:
             return knn.knn(self.live(), queries, k, self.cfg.space, terms=terms)
         return knn.knn(self.live(), queries, k, self.cfg.space, disjunction(terms, modes, self.cfg.attr_types, self.cfg.max_cate_size))
 
-    def epsilon_query(self, queries: DataFrame, limit: float, max_candidates: int = 10_000) -> DataFrame:
+    def epsilon_query(self, queries: DataFrame, limit: float, max_candidates: int | None = None) -> DataFrame:
         return knn.epsilon(self.live(), queries, limit, max_candidates, self.cfg.space)
 
     def predicate_translate(self, predicates: Sequence) -> list[list[int]]:
