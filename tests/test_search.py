@@ -98,6 +98,14 @@ def test_expression_form_agrees(pts, qs):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
+def test_expression_form_keeps_all_queries(pts, qs, monkeypatch):
+    want = sorted(map(tuple, knn.knn(pts, qs, 6, "cosine", terms="terms").collect()))
+    monkeypatch.setattr(knn, "MAX_BROADCAST_QUERIES", 4)
+    monkeypatch.setattr(knn, "BLOCK_QUERIES", 5)
+    assert sorted(map(tuple, knn.knn_expression(pts, qs, 6, "cosine", terms="terms").collect())) == want
+    assert knn.knn_expression(pts, qs, 6).count() == 6 * len(Q)
+
+
 def test_padding_and_strictness(pts, qs):
     few = knn.knn(pts, qs, 4, predicate=F.col("label") < 2)
     got = rows_of(knn.padded(few, qs, 4))
@@ -192,6 +200,17 @@ def test_probing_recall_and_invariants(index, pts, qs):
     assert rows_of(everything) == rows_of(truth)
 
 
+def test_probing_keeps_all_queries(index, qs, monkeypatch):
+    terms = [[[10, 80], [2]], [[], [1, 3]]]
+    want = [rows_of(ann.search(index, qs, 10, SearchConfig(nprobe=3), t)) for t in (None, terms)]
+    assert all(len(x) == len(Q) for x in want)
+    monkeypatch.setattr(knn, "MAX_BROADCAST_QUERIES", 4)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 5)
+    monkeypatch.setattr(ann, "CHUNK_ROWS", 8)
+    assert ann.probes(index, qs, SearchConfig(nprobe=3)).count() == 3 * len(Q)
+    assert [rows_of(ann.search(index, qs, 10, SearchConfig(nprobe=3), t)) for t in (None, terms)] == want
+
+
 def test_planner(index, pts, qs):
     terms = [[[10, 80], [2]], [[], [1, 3]]]
     exact = planner.hybrid(index, qs, terms, 10, SearchConfig.variant("strict"))

@@ -14,6 +14,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from ..functions import distance as D
 from ..functions import markers as M
 from ..functions.predicates import disjunction
 from ..schema import IndexConfig, SearchConfig
-from .knn import MAX_BROADCAST_QUERIES, OUT, _best, _frame, ranked
+from .knn import BLOCK_QUERIES, CHUNK_ROWS, OUT, _best, _frame, few, ranked
 
 #: Rows that k-means is trained on at most, per centroid.
 TRAIN_PER_CENTROID = 256
@@ -64,8 +65,6 @@ def assigned(points: DataFrame, centroids: np.ndarray, metric: str = "l2") -> Da
 
     @F.pandas_udf("cluster_id int, cluster_dist double")
     def nearest(vectors):
-        import pandas as pd
-
         ids, dists = [], []
         for a in range(0, len(vectors), 4096):
             x = np.stack(vectors.iloc[a : a + 4096]).astype(np.float64)
@@ -141,15 +140,16 @@ def probes(index: ClusterIndex, queries: DataFrame, search: SearchConfig, terms:
     """(qid, cluster_id): the clusters each query looks into.
 
     Clusters whose Markers refuse the predicate go last; with routing, the
-    nearest ``min_clusters`` are looked into even so.
+    nearest ``min_clusters`` are looked into even so.  The clusters are sent to
+    the queries, which can be any number.
     """
     passes = F.lit(True)
     if terms is not None and search.use_markers:
         passes = M.disjunction_test(terms, index.starts, index.mapping, index.bits, modes)
     c = index.clusters.select("cluster_id", "centroid", passes.alias("passes"))
-    q = F.broadcast(queries.select("qid", F.col("vector").alias("qv")).limit(MAX_BROADCAST_QUERIES))
+    q = queries.select("qid", F.col("vector").alias("qv"))
     d = D.distance(index.cfg.space, F.col("qv"), F.col("centroid"))
-    pairs = c.join(q).select("qid", "cluster_id", "passes", d.alias("d"))
+    pairs = q.crossJoin(F.broadcast(c)).select("qid", "cluster_id", "passes", d.alias("d"))
     near = Window.partitionBy("qid").orderBy("d", "cluster_id")
     best = Window.partitionBy("qid", "passes").orderBy("d", "cluster_id")
     pairs = pairs.withColumn("nth", F.row_number().over(near)).withColumn("nth_ok", F.row_number().over(best))
@@ -160,12 +160,18 @@ def probes(index: ClusterIndex, queries: DataFrame, search: SearchConfig, terms:
 
 
 def search(index: ClusterIndex, queries: DataFrame, k: int = 10, config: SearchConfig = SearchConfig(), terms: list | None = None, modes: list | None = None) -> DataFrame:
-    """(qid, rk, label, dist): exact search inside the probed clusters, live and matching records only."""
+    """(qid, rk, label, dist): exact search inside the probed clusters, live and matching records only.
+
+    Few queries travel with their clusters' rows; beyond that blocks of a
+    cluster's queries meet blocks of its rows.
+    """
     live = index.points.where(~F.col("deleted"))
     if terms is not None:
         live = live.where(disjunction(terms, modes, index.cfg.attr_types))
     chosen = probes(index, queries, config, terms, modes)
     q = queries.select("qid", F.col("vector").alias("qv"))
+    if not few(queries):
+        return ranked(_in_blocks(live, chosen.join(q, "qid"), index, queries.count(), k), k)
     work = chosen.join(q, "qid").groupBy("cluster_id").agg(F.collect_list("qid").alias("qids"), F.collect_list("qv").alias("qvs"))
     rows = live.select("cluster_id", "label", "vector").join(work, "cluster_id")
     metric = index.cfg.space
@@ -183,6 +189,28 @@ def search(index: ClusterIndex, queries: DataFrame, k: int = 10, config: SearchC
     return ranked(rows.mapInPandas(per_batch, OUT), k)
 
 
+def _in_blocks(live: DataFrame, work: DataFrame, index: ClusterIndex, n_queries: int, k: int) -> DataFrame:
+    """(qid, label, dist) of the ``k`` best rows of each block, for ``work`` (qid, cluster_id, qv) of many queries."""
+    largest = index.clusters.agg(F.max("n")).first()[0] or 0
+    q_blocks, p_blocks = -(-n_queries // BLOCK_QUERIES), max(1, -(-largest // (4 * CHUNK_ROWS)))
+    work = work.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int"))
+    rows = live.select(F.col("cluster_id").alias("c"), "label", "vector", F.pmod(F.xxhash64("label"), F.lit(p_blocks)).cast("int").alias("p"))
+    rows = rows.join(work.select(F.col("cluster_id").alias("c"), F.col("qb").alias("q")).distinct(), "c")
+    work = work.withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1))))
+    metric = index.cfg.space
+
+    def pair(key: tuple, qpdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        held: list[tuple] = []
+        if len(qpdf) and len(pdf):
+            qv = np.stack(qpdf["qv"]).astype(np.float64)
+            for a in range(0, len(pdf), CHUNK_ROWS):
+                part = pdf.iloc[a : a + CHUNK_ROWS]
+                held += _best(qpdf["qid"].to_numpy(), qv, None, part["label"].to_numpy(), np.stack(part["vector"]).astype(np.float64), None, None, metric, k, False, None)
+        return _frame(held)
+
+    return work.groupBy("cluster_id", "qb", "pb").cogroup(rows.groupBy("c", "q", "p")).applyInPandas(pair, OUT)
+
+
 def estimated_rows(index: ClusterIndex, terms: list) -> DataFrame:
     """(cluster_id, estimate): an upper estimate of matching rows by the records' slot counts, summed over terms."""
     out = None

@@ -81,6 +81,20 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["qid", "label", "dist"]).astype({"qid": "int64", "label": "int64", "dist": "float64"})
 
 
+def _dealt(points: DataFrame, queries: DataFrame, least: int = 0) -> tuple[DataFrame, DataFrame]:
+    """Both with blocks (qb, pb), so that every query meets every point in one of them."""
+    q_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    p_blocks = max(1, points.rdd.getNumPartitions(), least)
+    qs = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1))))
+    ps = points.withColumn("pb", F.pmod(F.xxhash64("label"), F.lit(p_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    return ps, qs
+
+
+def few(queries: DataFrame) -> bool:
+    """Whether the queries may be sent to every task."""
+    return queries.select("qid").limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES
+
+
 def knn(points: DataFrame, queries: DataFrame, k: int | None = 10, metric: str = "l2", predicate: Column | None = None, terms: str | None = None, self_excluded: bool = False, limit: float | None = None) -> DataFrame:
     """(qid, rk, label, dist) of the ``k`` nearest points of each query (qid, vector).
 
@@ -133,13 +147,8 @@ def knn(points: DataFrame, queries: DataFrame, k: int | None = 10, metric: str =
 
         found = points.mapInPandas(batches, OUT)
     else:
-        n = queries.count()
-        q_blocks = -(-n // BLOCK_QUERIES)
-        p_blocks = max(1, points.rdd.getNumPartitions())
-        if k is None:  # a pair of blocks sends on all it finds
-            p_blocks = max(p_blocks, -(-points.count() // (4 * CHUNK_ROWS)))
-        qs = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1))))
-        ps = points.withColumn("pb", F.pmod(F.xxhash64("label"), F.lit(p_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+        # without k a pair of blocks sends on all it finds
+        ps, qs = _dealt(points, queries, 0 if k is not None else -(-points.count() // (4 * CHUNK_ROWS)))
 
         def pair(key: tuple, qpdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
             return _frame(run(qpdf, pdf))
@@ -158,11 +167,17 @@ def ranked(found: DataFrame, k: int | None = None) -> DataFrame:
 
 
 def knn_expression(points: DataFrame, queries: DataFrame, k: int, metric="l2", predicate: Column | None = None, terms: str | None = None) -> DataFrame:
-    """The same by expressions alone, for custom spaces and as a second opinion; the queries must be few."""
+    """The same by expressions alone, for custom spaces and as a second opinion; many queries meet the points in blocks."""
     if predicate is not None:
         points = points.where(predicate)
     q = queries.select(F.col("qid").cast("long").alias("qid"), F.col("vector").alias("qv"), *([F.col(terms).alias("terms")] if terms else []))
-    pairs = points.join(F.broadcast(q.limit(MAX_BROADCAST_QUERIES)), matches(F.col("terms"), F.col("a0"), F.col("a1")) if terms else F.lit(True))
+    points = points.select("label", "vector", *(["a0", "a1"] if terms else []))
+    hit = matches(F.col("terms"), F.col("a0"), F.col("a1")) if terms else F.lit(True)
+    if few(q):
+        pairs = points.join(F.broadcast(q), hit)
+    else:
+        ps, qs = _dealt(points, q)
+        pairs = ps.join(qs, ["qb", "pb"]).where(hit)
     return ranked(pairs.select("qid", F.col("label").cast("long").alias("label"), D.distance(metric, F.col("qv"), F.col("vector")).alias("dist")), k)
 
 
