@@ -92,6 +92,20 @@ def test_each_query_its_own_predicate(pts, qs, blocks, monkeypatch):
         same(got[i], best("l2", q, ok_for(i), 6))
 
 
+@pytest.mark.parametrize("blocks", [False, True])
+def test_labels_beyond_a_word(spark, blocks, monkeypatch):
+    if blocks:
+        monkeypatch.setattr(knn, "MAX_BROADCAST_QUERIES", 2)
+    labels = [[1, 62], [63], [64, 2], [63, 1000], [1000, 1, 63], [], [5, 1 << 19]]
+    p = spark.createDataFrame([(i, [float(i)], 10, x) for i, x in enumerate(labels)], "label long, vector array<float>, a0 int, a1 array<int>")
+    asked = [([63], 0), ([63, 1000], 1), ([62, 63], 0), ([1, 63], 1), ([64], 1), ([1 << 19, 5], 1), ([77], 0), ([77], 1), ([2, 64, 1000], 0)]
+    q = spark.createDataFrame([(i, [0.0], [([], a, m)]) for i, (a, m) in enumerate(asked)], f"qid long, vector array<float>, terms {P.TERMS_TYPE}")
+    got = rows_of(knn.knn(p, q, 9, terms="terms"))
+    want = {i: [n for n, x in enumerate(labels) if (set(a) <= set(x) if m else set(a) & set(x))] for i, (a, m) in enumerate(asked)}
+    assert {i: [n for _, n in x] for i, x in got.items()} == {i: x for i, x in want.items() if x}
+    assert rows_of(knn.knn_expression(p, q, 9, terms="terms")) == got
+
+
 def test_expression_form_agrees(pts, qs):
     a = knn.knn(pts, qs, 6, "cosine", terms="terms").collect()
     b = knn.knn_expression(pts, qs, 6, "cosine", terms="terms").collect()

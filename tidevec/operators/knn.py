@@ -26,9 +26,19 @@ CHUNK_QUERIES, CHUNK_ROWS = 256, 4096
 OUT = "qid long, label long, dist double"
 
 
-def _masks(terms: list, a0: np.ndarray, masks: np.ndarray) -> np.ndarray:
-    """Rows that match a disjunction; labels come as bits of a long."""
+def _by_label(rare: list) -> dict[int, np.ndarray]:
+    """Rows of each label that has no bit."""
+    out: dict[int, np.ndarray] = {}
+    for i, own in enumerate(rare):
+        for x in own if own is not None else ():
+            out.setdefault(int(x), np.zeros(len(rare), bool))[i] = True
+    return out
+
+
+def _masks(terms: list, a0: np.ndarray, masks: np.ndarray, rare: dict[int, np.ndarray]) -> np.ndarray:
+    """Rows that match a disjunction; labels 0 to 62 come as bits of a long, others as their rows."""
     out = np.zeros(len(a0), bool)
+    none = np.zeros(len(a0), bool)
     for t in terms:
         ok = np.ones(len(a0), bool)
         ranges = t["a0"] if t["a0"] is not None else []
@@ -36,19 +46,18 @@ def _masks(terms: list, a0: np.ndarray, masks: np.ndarray) -> np.ndarray:
             ok &= np.logical_or.reduce([(a0 >= r["lo"]) & (a0 <= r["hi"]) for r in ranges])
         labels = t["a1"] if t["a1"] is not None else []
         if len(labels) and t["a1_mode"] != SKIP:
-            known = [int(x) for x in labels if 0 <= int(x) < 63]
-            m = np.int64(sum(1 << x for x in set(known)))
+            asked = {int(x) for x in labels}
+            m = np.int64(sum(1 << x for x in asked if 0 <= x < 63))
+            others = [rare.get(x, none) for x in asked if not 0 <= x < 63]
             if t["a1_mode"] == ANY:
-                ok &= (masks & m) != 0
-            elif len(known) < len(labels):
-                ok[:] = False
+                ok &= np.logical_or.reduce([(masks & m) != 0, *others])
             else:
-                ok &= (masks & m) == m
+                ok &= np.logical_and.reduce([(masks & m) == m, *others])
         out |= ok
     return out
 
 
-def _best(qids: np.ndarray, q: np.ndarray, terms: list | None, labels: np.ndarray, x: np.ndarray, a0, masks, metric: str, k: int | None, self_excluded: bool, limit: float | None) -> list[tuple]:
+def _best(qids: np.ndarray, q: np.ndarray, terms: list | None, labels: np.ndarray, x: np.ndarray, a0, masks, metric: str, k: int | None, self_excluded: bool, limit: float | None, rare: dict[int, np.ndarray] | None = None) -> list[tuple]:
     """The k best rows of a block for each query, or with a limit and no k all within it: candidates by a matrix product, then exact distances in order."""
     out = []
     for a in range(0, len(qids), CHUNK_QUERIES):
@@ -57,7 +66,7 @@ def _best(qids: np.ndarray, q: np.ndarray, terms: list | None, labels: np.ndarra
         for i, d in enumerate(block):
             qid = qids[a + i]
             if terms is not None:
-                d = np.where(_masks(terms[a + i], a0, masks), d, np.inf)
+                d = np.where(_masks(terms[a + i], a0, masks, rare or {}), d, np.inf)
             if self_excluded:
                 d = np.where(labels == qid, np.inf, d)
             if limit is not None:
@@ -109,7 +118,8 @@ def knn(points: DataFrame, queries: DataFrame, k: int | None = 10, metric: str =
         points = points.where(predicate)
     mask = F.expr("aggregate(filter(a1, x -> x >= 0 and x < 63), 0L, (m, x) -> m | shiftleft(1L, x))")
     cols = [F.col("label").cast("long").alias("label"), "vector"]
-    cols += [F.col("a0").alias("a0"), mask.alias("mask")] if terms else []
+    rare = F.filter("a1", lambda x: (x < 0) | (x >= 63))
+    cols += [F.col("a0").alias("a0"), mask.alias("mask"), rare.alias("rare")] if terms else []
     points = points.select(*cols)
     queries = queries.select(F.col("qid").cast("long").alias("qid"), "vector", *([F.col(terms).alias("terms")] if terms else []))
 
@@ -123,7 +133,8 @@ def knn(points: DataFrame, queries: DataFrame, k: int | None = 10, metric: str =
             part = pdf.iloc[a : a + CHUNK_ROWS]
             x = np.stack(part["vector"]).astype(np.float64)
             a0, m = (part["a0"].to_numpy(), part["mask"].to_numpy()) if terms else (None, None)
-            rows += _best(qpdf["qid"].to_numpy(), q, own, part["label"].to_numpy(), x, a0, m, metric, k, self_excluded, limit)
+            others = _by_label(list(part["rare"])) if terms else None
+            rows += _best(qpdf["qid"].to_numpy(), q, own, part["label"].to_numpy(), x, a0, m, metric, k, self_excluded, limit, others)
         return rows
 
     sample = queries.limit(MAX_BROADCAST_QUERIES + 1).toPandas()
