@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidevec.llm.html_extraction import extract, main_text, min_cut
 from tidevec.llm.quality import LABELLERS, classify, keep_clean, label_model
@@ -135,3 +136,15 @@ def test_classify_edges(spark):
     assert [r["keep"] for r in classify(some).collect()] == [False, False]
     same = spark.createDataFrame([(i, "The people said that it was a good day for the town.", "", "", 0) for i in range(9)], brute.SCHEMA)
     assert all(r["keep"] for r in classify(same).collect())
+
+
+def test_sample_is_filled_where_copies_dominate(spark, monkeypatch):
+    from tidevec.llm import quality
+
+    seen = []
+    fit_scorer = quality.fit_scorer
+    monkeypatch.setattr(quality, "fit_scorer", lambda x, y: seen.append(len(x)) or fit_scorer(x, y))
+    docs = spark.range(6000).select(F.concat(F.lit("one of a few texts with number "), (F.col("id") % 30).cast("string")).alias("text"))
+    quality.fit(docs, train_rows=20)
+    quality.fit(docs, train_rows=100)  # fewer distinct texts than that: all of them
+    assert seen == [20, 30]

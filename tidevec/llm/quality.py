@@ -285,10 +285,15 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = 2000):
     # -- a bounded sample: the least text hashes, found from a bound on the hash and cut to size
     total = int(n.sum()) if len(n) else 0
     keyed = docs.where(F.length(text_col) > 0).select(text_key(F.col(text_col)).alias("key"), text)
+    least = lambda rows: rows.mapInArrow(_featured, "key binary, pattern long, at binary, value binary").dropDuplicates(["key"]).orderBy("key").limit(train_rows).toArrow()
     if total > 2 * train_rows:
         bound = 2.0 * train_rows / total * 2.0**32
-        keyed = keyed.where(F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("double") < bound)
-    sample = keyed.mapInArrow(_featured, "key binary, pattern long, at binary, value binary").dropDuplicates(["key"]).orderBy("key").limit(train_rows).toArrow()
+        sample = least(keyed.where(F.conv(F.hex(F.substring("key", 1, 4)), 16, 10).cast("double") < bound))
+        if sample.num_rows < train_rows:  # copies count in the bound: take it from the distinct texts
+            last = keyed.select("key").distinct().orderBy("key").limit(train_rows).agg(F.max("key")).first()[0]
+            sample = least(keyed.where(F.col("key") <= F.lit(bytes(last))))
+    else:
+        sample = least(keyed)
     x = np.zeros((sample.num_rows, N_FEATURES), np.float32)
     for r, (at, value) in enumerate(zip(sample.column("at").to_pylist(), sample.column("value").to_pylist())):
         x[r, np.frombuffer(at, np.int32)] = np.frombuffer(value, np.float32)
