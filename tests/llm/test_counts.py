@@ -145,6 +145,22 @@ def test_top_k(spark):
     assert top_k(df.limit(0), df).count() == 0 and top_k(df, df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(i, [0.5, (i - 3) / 8.0]) for i in range(6)] + [(6, [200_000.0, 1.0]), (7, [-3e6, 0.25]), (8, [1e9, -1e9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    fine = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(np.int64).tolist()) for i, v in rows]
+    got = [tuple(r) for r in top_k(df.where("vec_id in (2, 7)"), df, 3).orderBy("query_id", "rank").select("query_id", "rank", "id", "score").collect()]
+    want = []
+    for qid in (2, 7):
+        best = sorted((-sum(a * b for a, b in zip(fine[qid][1], v)), i) for i, v in fine if i != qid)
+        want += [(qid, n + 1, i, -s) for n, (s, i) in enumerate(best[:3])]
+    assert got == want
+    with pytest.raises(Exception, match="too large"):
+        top_k(df.where("vec_id = 8"), df, 3, scale=2.0**12).collect()  # the score passes 64 bits
+    with pytest.raises(Exception, match="too large"):
+        top_k(df, spark.createDataFrame([(1, [1e30])], df.schema), 3).collect()
+
+
 # -- sharding
 
 

@@ -12,9 +12,9 @@ Queries are a stated set, dealt to blocks as well; every query block meets
 every row block once, and only ``k`` rows per query leave a block.
 
 Defined results: vectors that are null or hold null or non-finite components
-take no part, nor do empty ones, rows without an id, and components beyond
-``LIMIT`` (no score could then be held in 64 bits); a vector counts as ended by
-zeros when lengths differ; a query never meets rows of its own id; repeated
+take no part, nor do empty ones and rows without an id; a quantised component
+of ``LIMIT`` or more, or a result's score that 64 bits don't hold, is an error; a
+vector counts as ended by zeros when lengths differ; a query never meets rows of its own id; repeated
 rows count as often as they occur; ties go to the smaller id; fewer than ``k``
 candidates give fewer rows; an empty table gives an empty result.
 """
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from ._util import written
 
-#: Largest absolute quantised component.
-LIMIT = 1 << 27
+#: Quantised components stay below it, so that differences of two fit 64 bits.
+LIMIT = 1 << 62
 
 
 def slices_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,10 +118,11 @@ def value_at(score: list[np.ndarray], row: int) -> int:
 
 
 def quantised(vector: Column, scale: float) -> Column:
-    """floor(scale * x) as array<bigint>; null where the vector takes no part."""
+    """floor(scale * x) as array<bigint>; null where the vector takes no part, an error beyond ``LIMIT``."""
     x = F.transform(vector, lambda v: F.floor(F.lit(float(scale)) * v.cast("double")))
-    fine = F.coalesce(F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double") * scale) < LIMIT)), F.lit(False))
-    return F.when(fine & (F.size(vector) > 0), x)
+    fine = F.coalesce(F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf"))), F.lit(False))
+    held = F.forall(vector, lambda v: F.abs(v.cast("double") * scale) < float(LIMIT))
+    return F.when(fine & (F.size(vector) > 0), F.when(held, x).otherwise(F.raise_error(F.lit("a component is too large for 64 bits"))))
 
 
 def _matrix(vectors: list) -> np.ndarray:
