@@ -224,3 +224,16 @@ def test_windows_with_watermark(spark, tmp_path):
 def test_latest_and_repair_limits(spark):
     e = spark.createDataFrame([(1, 1, "x"), (1, 3, "y"), (2, 2, "z")], "label long, version int, v string")
     assert sorted(map(tuple, mutate.latest(e).collect())) == [(1, 3, "y"), (2, 2, "z")]
+
+
+def test_repair_searches_anew(spark):
+    # 0 to 5 on a line; 0 knows only the dead 1 and 2, which know only each other; 5 has no edge
+    p = spark.createDataFrame([(i, [float(i)], i in (1, 2)) for i in range(6)], "label long, vector array<float>, deleted boolean")
+    e = spark.createDataFrame([(s, d, 0, float((s - d) ** 2)) for s, d in ((0, 1), (0, 2), (1, 2), (2, 1), (3, 4), (4, 3))], "src long, dst long, slot int, dist double")
+    assert mutate.patched(e, p, 4).where("src = 0").count() == 0
+    nodes = mutate.repair_nodes(e, p)
+    assert sorted(r[0] for r in nodes.collect()) == [0, 5]
+    got = {(r["src"], r["dst"]) for r in mutate.repaired(e, p, nodes, 4).where("src not in (1, 2)").collect()}
+    assert got == {(0, 3), (3, 0), (3, 4), (4, 3), (4, 5), (5, 4)}
+    tight = mutate.repaired(e, p, nodes, 1).where("src not in (1, 2)")
+    assert sorted((r["src"], r["dst"], r["slot"]) for r in tight.collect()) == [(0, 3, 0), (3, 4, 0), (4, 3, 0), (5, 4, 0)]

@@ -773,6 +773,12 @@ def repair_candidates(spark, sf_dir):
     return mutate.repair_candidates(e, p).withColumn("dead_ratio", F.round("dead_ratio", 9))
 
 
+@query()
+def repair_nodes(spark, sf_dir):
+    p, e = edges(spark, sf_dir)
+    return mutate.repaired(e, p, graph.cut(mutate.repair_nodes(e, p)), 2 * M_EDGES)
+
+
 @query(BASE + f", {_EDGES}, {_DEADNESS} SELECT label FROM r WHERE dead_ratio > 0")
 def dirty_nodes(spark, sf_dir):
     p, e = edges(spark, sf_dir)

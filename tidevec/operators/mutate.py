@@ -132,6 +132,35 @@ def patched(edges: DataFrame, points: DataFrame, max_degree: int, metric: str =
     return keep.unionByName(fill).withColumn("slot", slot).select("src", "dst", "slot", "dist")
 
 
+def repaired(edges: DataFrame, points: DataFrame, nodes: DataFrame, max_degree: int, metric: str = "l2") -> DataFrame:
+    """Edges after the live ones of ``nodes`` (label) were searched anew and connected both ways.
+
+    Their old edges give way to diverse ones among their ``2 * max_degree``
+    nearest live points; a neighbour that has more than ``max_degree`` edges
+    then is pruned over its live ones.
+    """
+    from .graph import cut, rng_pruned, slotted
+    from .knn import knn
+
+    live = points.where(~F.col("deleted"))
+    who = live.join(nodes.select("label").distinct(), "label", "left_semi")
+    near = knn(live, who.select(F.col("label").alias("qid"), "vector"), 2 * max_degree, metric, self_excluded=True)
+    near = near.select(F.col("qid").alias("src"), F.col("label").alias("dst"), "dist")
+    new = cut(rng_pruned(near, live, max_degree, metric).select("src", "dst", "dist"))
+    rest = edges.select("src", "dst", "dist").join(who.select(F.col("label").alias("src")), "src", "left_anti")
+    back = new.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")
+    every = cut(rest.unionByName(new).unionByName(back).groupBy("src", "dst").agg(F.min("dist").alias("dist")))
+    full = cut(every.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_degree).join(back.select("src").distinct(), "src", "left_semi").select("src"))
+    pruned = rng_pruned(every.join(full, "src", "left_semi"), live, max_degree, metric).select("src", "dst", "dist")
+    return slotted(every.join(full, "src", "left_anti").unionByName(pruned))
+
+
+def repair_nodes(edges: DataFrame, points: DataFrame, ratio: float = 0.10) -> DataFrame:
+    """(label) of the repair candidates and of live points without any edge."""
+    alone = points.where(~F.col("deleted")).select("label").join(edges.select(F.col("src").alias("label")), "label", "left_anti")
+    return repair_candidates(edges, points, ratio).select("label").unionByName(alone)
+
+
 def maintenance_action(ratio: Column, new_deletes: Column, patch: float = 0.20, rebuild: float = 0.50, least: int = 100_000) -> Column:
     """``rebuild``, ``patch`` or ``none`` by the share of tombstones and the deletions since the last time."""
     return F.when(ratio >= rebuild, "rebuild").when((ratio >= patch) & (new_deletes >= least), "patch").otherwise("none")

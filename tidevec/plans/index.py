@@ -186,6 +186,25 @@ class VectorIndex:
             raise ValueError("build the graph first")
         return mutate.repair_candidates(self.edges, self.points, self.cfg.repair_ratio)
 
+    def repair_candidate_nodes(self) -> int:
+        """Search the candidates and points without edges anew; their number."""
+        if self.edges is None:
+            raise ValueError("build the graph first")
+        return self._repair(mutate.repair_nodes(self.edges, self.points, self.cfg.repair_ratio))
+
+    def repair_node(self, label: int) -> bool:
+        """Search one live point anew; False if there is none of that label."""
+        if self.edges is None:
+            raise ValueError("build the graph first")
+        return self._repair(self.points.where(F.col("label") == label).select("label")) > 0
+
+    def _repair(self, nodes: DataFrame) -> int:
+        live = graph.cut(nodes.join(self.points.where(~F.col("deleted")).select("label"), "label", "left_semi"))
+        n = live.count()
+        if n:
+            self.edges = graph.cut(mutate.repaired(self.edges, self.points, live, 2 * self.cfg.M, self.cfg.space))
+        return n
+
     def batched_patch_deletes(self) -> None:
         if self.edges is None:
             raise ValueError("build the graph first")
