@@ -1,5 +1,6 @@
 import os
 import random
+import time
 
 import brute
 import numpy as np
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidevec.llm.html_extraction import extract, main_text, min_cut
+from tidevec.llm.html_extraction import blocks_of, costs, extract, main_text, min_cut, smoothness
 from tidevec.llm.quality import LABELLERS, classify, keep_clean, label_model
 
 SF = "/root/testdata/sf0.01"
@@ -53,6 +54,79 @@ def test_page_without_article():
     assert main_text(page).count("This is paragraph") == 4 and "bye" not in main_text(page) and "One" not in main_text(page)
 
 
+def cut_overrules(page):
+    """(blocks that the cut keeps against their own costs, blocks that it drops against them)."""
+    blocks, parents = blocks_of(page)
+    net = costs(blocks)
+    keep = min_cut(net, smoothness(blocks, parents))
+    return [b.text for b, x, k in zip(blocks, net, keep) if k and x < 0], [b.text for b, x, k in zip(blocks, net, keep) if not k and x > 0]
+
+
+LONG = "<p>Number {} of the paragraphs of this story goes on for quite a while, as stories do, and says what was to be said.</p>"
+
+
+def test_the_cut_decides():
+    body = LONG.format(1) + "<p>Yes</p>" + LONG.format(2) + "<p><a href=x>all of it a link here</a></p>" + LONG.format(3)
+    page = f"<body><ul><li><a href=a>Home</a></li><li><a href=b>News.</a></li></ul><div>{body}</div><ul><li><a href=c>Up now.</a></li><li><a href=d>Down</a></li></ul></body>"
+    kept, _ = cut_overrules(page)
+    assert kept == ["Yes", "all of it a link here"]
+    text = main_text(page)
+    assert text.split("\n\n")[1::2] == kept and "Home" not in text and "Up now" not in text
+    # a sentence among links goes with them
+    links = "".join(f"<li><a href=x{i}>Link number {i}</a></li>" for i in range(4))
+    page = f"<body><div>{LONG.format(1)}{LONG.format(2)}</div><ul>{links}<li>See more of it here, today.</li>{links}</ul></body>"
+    assert "See more" not in main_text(page) and main_text(page).count("paragraphs of this story") == 2
+
+
+def test_likely_words_are_no_veto():
+    page = f"<body><article><h1>Title</h1>{LONG.format(1)}<div class='related'>{LONG.format(2)}</div><ul class=related><li><a href=x>One</a></li><li><a href=y>Two</a></li></ul></article></body>"
+    assert main_text(page).count("paragraphs of this story") == 2 and "One" not in main_text(page)
+
+
+def random_page(r):
+    """A small page without ``article``, of at most 12 blocks."""
+    words = "the of a day that town was old it said river good".split()
+
+    def p():
+        text = " ".join(r.choice(words) for _ in range(r.choice((1, 2, 5, 14, 40)))) + r.choice(["", ".", "!"])
+        return f"<a href=x>{text}</a>" if r.random() < 0.3 else text
+
+    def part(depth):
+        kind = r.choice(("p", "p", "p", "li", "div", "section", "h2", "nav", "footer"))
+        cls = r.choice(["", "", "", " class=menu", " class='post text'", " class=related", " id=comments"])
+        inside = "".join(part(depth + 1) for _ in range(r.randint(1, 3))) if kind in ("div", "section", "nav") and depth < 3 else p()
+        return f"<{kind}{cls}>{inside}</{kind}>"
+
+    return "<body>" + "".join(part(0) for _ in range(r.randint(1, 5))) + "</body>"
+
+
+def test_extraction_against_every_labelling():
+    """The text is that of a labelling of least cost, among all there are."""
+    r = random.Random(11)
+    seen = overruled = 0
+    while seen < 150:
+        page = random_page(r)
+        blocks, parents = blocks_of(page)
+        if not 1 <= len(blocks) <= 12:
+            continue
+        seen += 1
+        net, edges = costs(blocks), smoothness(blocks, parents)
+        labels = [[bool(m >> i & 1) for i in range(len(blocks))] for m in range(1 << len(blocks))]
+        price = [cut_cost(net, edges, x) for x in labels]
+        best = {"\n\n".join(b.text for b, k in zip(blocks, x) if k) for x, c in zip(labels, price) if c < min(price) + 1e-6}
+        assert main_text(page) in best
+        overruled += any(map(len, cut_overrules(page)))
+    assert overruled > 10
+
+
+def test_long_odd_pages_take_little_time():
+    for part in ('<a "', '<a ">"', "<a '\">", "<!--", "<script>", "<", "<div>", "</ul>", "<li>", "<p class='", "&", "<a "):
+        page = "<div>" * 20_000 + part * (300_000 // len(part))
+        began = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - began < 10  # a machine's worst; quadratic time would be hours
+
+
 def test_odd_pages(spark):
     odd = [None, "", "plain", "<", "<p", "<p>a < b && c</p>", "<article><p>unclosed", "<script>x", "<!-- x", "<article><p title='>x'>ok.</p></article>", "<article>" + "<div>" * 3000 + "deep text here." + "</article>", "<article>" + "<p>x y.</p>" * 5000 + "</article>"]
     rows = [(i, f"u{i}", h) for i, h in enumerate(odd)] + [(0, None, PAGE), (None, None, PAGE)]
