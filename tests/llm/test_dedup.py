@@ -3,6 +3,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,9 +46,8 @@ def test_suffix_dedup(docs):
 
 
 def test_suffix_dedup_other_ways(spark, docs, monkeypatch):
-    """The ways for hot anchors, full tables and very long texts give the same."""
+    """The way for hot anchors gives the same."""
     monkeypatch.setattr(suffix_dedup, "HOT", 2)
-    monkeypatch.setattr(suffix_dedup, "TABLE_BITS", 10)
     check_suffix(docs, ROWS)
 
 
@@ -58,6 +58,25 @@ def test_segments_of_long_texts(monkeypatch):
         assert starts == list(range(n - 99))
 
 
+def test_segments_name_strings_alike(monkeypatch):
+    """A very long text, looked at in segments, has each string once, under the anchor it has in one piece."""
+    rng = random.Random(5)
+    text = "".join(rng.choice("ab \n") for _ in range(5000))
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([1]), pa.array([text])], ["id", "h", "text"])
+
+    def named():
+        out = []
+        for b in suffix_dedup._anchors(iter([batch]), 100):
+            for g, _, i, h, first, last in zip(*(b.column(k).to_pylist() for k in range(6))):
+                out += [(i, h, x, g) for x in range(first, last + 1)]
+        return sorted(out)
+
+    whole = named()
+    assert [x[:3] for x in whole] == [(7, 1, x) for x in range(4901)]
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
+    assert named() == whole
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert remove_repeats(spark.createDataFrame([], brute.SCHEMA)).count() == 0
 

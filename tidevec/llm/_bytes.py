@@ -68,11 +68,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def prefix_sums(buf: np.ndarray) -> np.ndarray:
+def prefix_sums(buf: np.ndarray, words: np.ndarray = BYTE_WORD) -> np.ndarray:
     """n + 1 running sums from which any run's hash follows, see ``run_hash``."""
     p, _ = powers(len(buf))
     out = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(BYTE_WORD[buf] * p, out=out[1:])
+    np.cumsum(words[buf] * p, out=out[1:])
     return out
 
 

@@ -155,6 +155,21 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(kept, '')) AS kept_sha256
         FROM documents d LEFT JOIN g USING (doc_id)
     """,
+    "op6_suffix_dedup": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        n AS (SELECT doc_id, x, length(x) // 2 AS n FROM d),
+        s AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS w FROM (SELECT doc_id, x, unnest(generate_series(0, n - 100)) AS i FROM n WHERE n >= 100)),
+        late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY w ORDER BY doc_id, i) AS nth FROM s) WHERE nth > 1),
+        r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run
+              FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM late)),
+        p AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM r GROUP BY ALL),
+        q AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS after FROM p),
+        k AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS tail, string_agg(substr(x, 2 * after + 1, 2 * (a - after)), '' ORDER BY a) AS kept
+              FROM q JOIN n USING (doc_id) GROUP BY doc_id)
+        SELECT n.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+        FROM n LEFT JOIN k USING (doc_id)
+    """,
     "op7_top_k": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS q

@@ -4,33 +4,34 @@ Every byte that lies in a ``span``-byte string which also starts earlier is
 removed.  Suffixes are dealt out by content: the ``span``-byte strings that
 start in a text are named after their anchor, the place of the smallest hash of
 ``GRAM`` bytes in them.  Equal strings have equal anchors, so all
-occurrences of a string meet wherever they come from, and only anchors that
-occur more than once go on:
+occurrences of a string meet wherever they come from.  Only hashes and places
+travel until bytes are needed, and the plan is the same at every size:
 
-1. Count the anchors' hashes over all texts; a bit table of fixed size over the
-   repeated ones drops most others before they are sent.
-2. An anchor goes with its surroundings: the bytes of all strings named after
-   it.  Where the same surroundings stand earlier, all of the later ones'
+1. Count the anchors' hashes over all texts and join the anchors with the
+   repeated ones: strings of an anchor that occurs once can't repeat.
+2. An anchor's surroundings are the bytes of all strings named after it, sent as
+   a hash.  Where the same surroundings stand earlier, all of the later ones'
    strings are repeats, whatever their number.
 3. What is left are first occurrences of different surroundings of the same
-   anchor, as at both ends of a passage.  Their suffixes are sorted by the
-   difference-cover algorithm: sampled triples are sorted and named, names are
-   recursed on, the remaining suffixes are merged, and adjacent prefixes of
-   ``span`` bytes are compared.
+   anchor, as at both ends of a passage.  Only their bytes are fetched from the
+   texts.  Their suffixes are sorted by the difference-cover algorithm: sampled
+   triples are sorted and named, names are recursed on, the remaining suffixes
+   are merged, and adjacent prefixes of ``span`` bytes are compared.
 
 An anchor with more than ``HOT`` different surroundings (a short, very common
 line) isn't sorted in one task: its strings are named by 128-bit hashes, which
 Spark aggregates and joins.
 
 Defined results: a null text is empty; texts shorter than ``span`` bytes lose
-nothing; a document's place is its id (null last), then a hash of its text;
-repeated rows of one id and text are one document and get the same result; an
-empty table gives an empty result; further columns are ignored.
+nothing; very long texts are looked at in overlapping segments and lose no
+string; a document's place is its id (null last), then a 64-bit hash of its
+text, so ties go to the smaller hash; repeated rows of one id and text are one
+document and get the same result; an empty table gives an empty result; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import U, flat, mixed, pieces, powers, prefix_sums, run_hash
+from ._bytes import BYTE_WORD, U, flat, mixed, pieces, powers, prefix_sums, run_hash
 from ._util import discarded, shared_dir, written
 
 #: Bytes of an anchor's hash.
 GRAM = 24
-#: Bits of the table of repeated anchors (16 MB), whatever the corpus' size.
-TABLE_BITS = 27
 #: Different surroundings of one anchor that one task sorts.
 HOT = 4096
 #: Bytes that one suffix array covers at least, if there are as many.
@@ -107,35 +106,46 @@ def _counted(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(g[a : a + (1 << 17)].view(np.int64)), pa.array(np.minimum(n[a : a + (1 << 17)], 2).astype(np.int32))], ["g", "n"])
 
 
-SURROUND = "id long, h int, g long, c long, first long, last long, bytes binary"
+ANCHORS = "g long, c long, id long, h long, first long, last long"
 
 
-def _surroundings(batches: Iterator[pa.RecordBatch], span: int, table) -> Iterator[pa.RecordBatch]:
-    """(id, h, text) to the anchors that the bit table lets through, with their surroundings."""
+def _anchors(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """(id, h, text) to the anchors: their hash, their surroundings' hash, and the first and last string named after them."""
     for b in batches:
         buf, off = flat(b.column(2))
         for rows, o in _segments(off, span):
             base = int(o[0])
             at, first, last, g, sums = anchors_of(buf[base : int(o[-1])], o - base, span)
-            on = np.flatnonzero(in_table(table, g))
-            if not len(on):
+            if not len(at):
                 continue
-            at, first, last, g = at[on], first[on], last[on], g[on]
             c = mixed(run_hash(sums, first, last + span) + (at - first).astype(np.uint64) * U(0x9FB21C651E98DF25))
-            doc = np.searchsorted(o - base, first, side="right") - 1
-            which = pa.array(rows[doc])
-            begin = base + first - off[rows[doc]]
-            end = begin + (last - first)
-            ctx = [buf[base + x : base + y] for x, y in zip(first.tolist(), (last + span).tolist())]
-            ends = np.cumsum([0] + [len(x) for x in ctx]).astype(np.int32)
-            data = pa.Array.from_buffers(pa.binary(), len(ctx), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.concatenate(ctx).tobytes())])
-            for a in range(0, len(ctx), 10_000):
-                cut = slice(a, a + 10_000)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(which[cut]), b.column(1).take(which[cut]), pa.array(g[cut].view(np.int64)), pa.array(c[cut].view(np.int64)),
-                     pa.array(begin[cut]), pa.array(end[cut]), data[cut]],
-                    ["id", "h", "g", "c", "first", "last", "bytes"],
-                )
+            doc = rows[np.searchsorted(o - base, first, side="right") - 1]
+            begin = base + first - off[doc]
+            cols = [pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(begin), pa.array(begin + (last - first))]
+            for a in range(0, len(at), 1 << 16):
+                yield pa.RecordBatch.from_arrays([x[a : a + (1 << 16)] for x in cols], ["g", "c", "id", "h", "first", "last"])
+
+
+REST = "g long, id long, h long, first long, bytes binary, rivals long"
+
+
+def _fetched(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """(id, h, text, asked: array of (g, first, wide, rivals)) to the asked surroundings with their bytes."""
+    for b in batches:
+        buf, off = flat(b.column(2))
+        lists = b.column(3)
+        asked = lists.flatten()
+        row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+        g, first, wide, rivals = (asked.field(k) for k in range(4))
+        start = off[row] + first.to_numpy()
+        size = wide.to_numpy() + span
+        for a in range(0, len(row), 8192):
+            cut = slice(a, a + 8192)
+            ends = np.concatenate([[0], np.cumsum(size[cut])])
+            take = np.repeat(start[cut] - ends[:-1], size[cut]) + np.arange(ends[-1])
+            data = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(buf[take].tobytes())])
+            which = pa.array(row[cut])
+            yield pa.RecordBatch.from_arrays([g[cut], b.column(0).take(which), b.column(1).take(which), first[cut], data, rivals[cut]], ["g", "id", "h", "first", "bytes", "rivals"])
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -230,7 +240,7 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.
                 for a, b in zip(np.concatenate([[0], brk + 1]), np.concatenate([brk, [len(starts) - 1]])):
                     out.append((i, h, f + int(starts[a]), f + int(starts[b]) + span))
         cols = list(zip(*out)) if out else [[], [], [], []]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["id", "h", "start", "end"])
 
     for b in batches:
@@ -245,54 +255,24 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.
         yield solve()
 
 
-def _windows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """Rows (g, id, h, first, bytes) to (w, id, h, start): each string by a 128-bit hash."""
-    for b in batches:
-        out: list[tuple] = []
-        for _, i, h, f, x in zip(*(b.column(k).to_pylist() for k in range(5))):
-            out += [(hashlib.blake2b(x[a : a + span], digest_size=16).digest(), i, h, f + a) for a in range(len(x) - span + 1)]
-        cols = list(zip(*out)) if out else [[], [], [], []]
-        kinds = (pa.binary(), pa.int64(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["w", "id", "h", "start"])
+_SECOND_WORD = mixed(BYTE_WORD * U(0xD6E8FEB86659FD93)) | U(1)
 
 
-def bit_table(hashes: DataFrame):
-    """A broadcast table of 2 ** TABLE_BITS bits, set for the 64-bit hashes ``x`` of a DataFrame.
-
-    At most 2 ** (TABLE_BITS - 6) words come to the driver, however many hashes there are.
-    """
-    spark = hashes.sparkSession
-    cell = F.shiftrightunsigned("x", 64 - TABLE_BITS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(x, {64 - TABLE_BITS}) & 63 as int))")
-    got = hashes.groupBy(F.shiftright(cell, 6).alias("at")).agg(F.bit_or(bit).alias("v")).toArrow()
-    bits = np.zeros(1 << (TABLE_BITS - 6), np.int64)
-    bits[got.column("at").to_numpy()] = got.column("v").to_numpy()
-    return spark.sparkContext.broadcast(bits.tobytes())
-
-
-def in_table(table, x: np.ndarray) -> np.ndarray:
-    """Which hashes may be in a bit table."""
-    bits = np.frombuffer(table.value, np.uint64)
-    cell = x >> U(65 - (64 * len(bits)).bit_length())
-    return ((bits[(cell >> U(6)).astype(np.int64)] >> (cell & U(63))) & U(1)).astype(bool)
-
-
-def _both(g: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """One hash of an anchor and its surroundings."""
-    return mixed(g.view(np.uint64) * U(0x9E3779B97F4A7C15) + c.view(np.uint64))
-
-
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(g, c) to (x)."""
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(_both(b.column(0).to_numpy(), b.column(1).to_numpy()).view(np.int64))], ["x"])
-
-
-def _likely(batches: Iterator[pa.RecordBatch], table) -> Iterator[pa.RecordBatch]:
-    """Rows (g, c, ...) whose pair of hashes may be in the table."""
+def _windows(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """Rows (g, id, h, first, bytes) to (w1, w2, id, h, start): each string by a 128-bit hash."""
     for b in batches:
-        if b.num_rows:
-            yield b.filter(pa.array(in_table(table, _both(b.column(0).to_numpy(), b.column(1).to_numpy()))))
+        buf, off = flat(b.column(4))
+        for i, j in pieces(off):
+            o = off[i : j + 1] - off[i]
+            size = np.diff(o) - span + 1
+            row = np.repeat(np.arange(i, j), size)
+            within = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            start = o[row - i] + within
+            piece = buf[off[i] : off[j]]
+            w1, w2 = (run_hash(prefix_sums(piece, words), start, start + span).view(np.int64) for words in (BYTE_WORD, _SECOND_WORD))
+            which = pa.array(row)
+            at = b.column(3).to_numpy()[row] + within
+            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), b.column(1).take(which), b.column(2).take(which), pa.array(at)], ["w1", "w2", "id", "h", "start"])
 
 
 def repeated_spans(texts: DataFrame, span: int = 100) -> DataFrame:
@@ -302,47 +282,39 @@ def repeated_spans(texts: DataFrame, span: int = 100) -> DataFrame:
     """
     spark = texts.sparkSession
     shared_dir(spark)
+    doc = ["none", "idk", "h"]
+    named = lambda df: df.withColumn("none", F.col("id").isNull()).withColumn("idk", F.coalesce("id", F.lit(0)))
     counted = texts.mapInArrow(lambda it: _counted(it, span), "g long, n int")
-    twice = counted.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g")
-    twice = written(twice, "suf-anchors")
-    n_twice = twice.count()
-    table = bit_table(twice.select(F.col("g").alias("x")))
-    near = texts.mapInArrow(lambda it: _surroundings(it, span, table), SURROUND)
-    if n_twice > 1 << (TABLE_BITS - 3):
-        # The table is too full to tell: drop the anchors that occur once here, to send fewer of them below.
-        near = near.join(twice, "g")
-    near = written(near, "suf-near")
+    twice = written(counted.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g"), "suf-anchors")
+    # Joins by sort and merge at every size: Spark can split a hot anchor's rows, and no side is ever sent whole.
+    near = written(texts.mapInArrow(lambda it: _anchors(it, span), ANCHORS).join(twice.hint("merge"), "g"), "suf-near")
+    discarded(twice)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "first")
-    kinds = near.groupBy("g", "c").agg(F.min(place).alias("lead"), F.count(F.lit(1)).alias("n"))
-    rivals = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("rivals"), F.sum("n").alias("all")).where(F.col("all") > 1)
-    kinds = written(kinds.select("g", "c", "lead").join(rivals.select("g", "rivals"), "g"), "suf-kinds")
-    seen = near.select("id", "h", "g", "c", "first", "last").join(kinds.select("g", "c", "lead"), ["g", "c"])
-    whole = seen.where(place != F.col("lead")).select("id", "h", F.col("first").alias("start"), (F.col("last") + span).alias("end"))
-    # -- first occurrences whose anchor has other surroundings too
-    contested = kinds.where("rivals > 1")
-    pairs = bit_table(contested.select("g", "c").mapInArrow(_pairs, "x long"))
-    left = near.select("g", "c", "id", "h", "first", "bytes")
-    left = left.mapInArrow(lambda it: _likely(it, pairs), left.schema).withColumn("none", F.col("id").isNull()).withColumn("id0", F.coalesce("id", F.lit(0))).drop("id")
-    rest = contested.select("g", "c", "lead.none", "lead.id", F.coalesce("lead.id", F.lit(0)).alias("id0"), "lead.h", "lead.first", "rivals")
-    rest = left.join(rest, ["g", "c", "none", "id0", "h", "first"]).dropDuplicates(["g", "c", "none", "id0", "h", "first"])
-    rest = written(rest.select("g", "id", "h", "first", "bytes", "rivals"), "suf-rest")
+    kinds = near.groupBy("g", "c").agg(F.min(place).alias("lead"), F.min(F.col("last") - F.col("first")).alias("wide"), F.count(F.lit(1)).alias("n"))
+    kinds = written(kinds, "suf-kinds")
+    whole = near.join(kinds.where("n > 1").select("g", "c", "lead").hint("merge"), ["g", "c"]).where(place != F.col("lead"))
+    whole = written(whole.select("id", "h", F.col("first").alias("start"), (F.col("last") + span).alias("end")), "suf-whole")
+    discarded(near)
+    # -- first occurrences whose anchor has other surroundings too: only their bytes are fetched
+    rivals = kinds.groupBy("g").agg(F.count(F.lit(1)).alias("rivals")).where("rivals > 1")
+    contested = kinds.join(rivals.hint("merge"), "g").select("lead.none", F.coalesce("lead.id", F.lit(0)).alias("idk"), "lead.h", F.struct("g", "lead.first", "wide", "rivals").alias("x"))
+    asked = contested.groupBy(*doc).agg(F.collect_list("x").alias("asked"))
+    once = named(texts).select(*doc, "text").dropDuplicates(doc)
+    rest = once.join(asked.hint("merge"), doc).select(F.when(~F.col("none"), F.col("idk")).alias("id"), "h", "text", "asked")
+    rest = written(rest.mapInArrow(lambda it: _fetched(it, span), REST), "suf-rest")
+    discarded(kinds)
     n_parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cols = ("g", "id", "h", "first", "bytes")
     few = rest.where(F.col("rivals") <= HOT).select(*cols).repartition(n_parts, "g").sortWithinPartitions("g")
-    ends = few.mapInArrow(lambda it: _sorted_groups(it, span), "id long, h int, start long, end long")
+    ends = few.mapInArrow(lambda it: _sorted_groups(it, span), "id long, h long, start long, end long")
     hot = rest.where(F.col("rivals") > HOT).select(*cols)
-    found = whole.unionByName(ends)
-    tables = [twice, near, kinds, rest]
-    if not hot.isEmpty():
-        wins = written(hot.mapInArrow(lambda it: _windows(it, span), "w binary, id long, h int, start long"), "suf-windows")
-        here = F.struct(F.col("id").isNull().alias("none"), "id", "h", "start")
-        tables.append(wins)
-        lead = wins.groupBy("w").agg(F.min(here).alias("lead"))
-        late = wins.join(lead, "w").where(here != F.col("lead"))
-        found = found.unionByName(late.select("id", "h", "start", (F.col("start") + span).alias("end")))
-    per = found.withColumn("idk", F.coalesce("id", F.lit(0))).withColumn("none", F.col("id").isNull())
-    per = written(per.groupBy("none", "idk", "h").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "suf-spans")
-    discarded(*tables)
+    wins = written(hot.mapInArrow(lambda it: _windows(it, span), "w1 long, w2 long, id long, h long, start long"), "suf-windows")
+    here = F.struct(F.col("id").isNull().alias("none"), "id", "h", "start")
+    lead = wins.groupBy("w1", "w2").agg(F.min(here).alias("lead"), F.max(here).alias("end")).where("lead <> end").select("w1", "w2", "lead")
+    late = wins.join(lead.hint("merge"), ["w1", "w2"]).where(here != F.col("lead"))
+    found = whole.unionByName(ends).unionByName(late.select("id", "h", "start", (F.col("start") + span).alias("end")))
+    per = written(named(found).groupBy(*doc).agg(F.collect_set(F.struct("start", "end")).alias("spans")), "suf-spans")
+    discarded(whole, rest, wins)
     return per
 
 
@@ -374,7 +346,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, span: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_bytes, spans (merged, in bytes), kept (the remaining bytes)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(F.col(text_col)).alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     per = repeated_spans(texts, span).hint("merge")  # the same join at every size
     rows = texts.withColumn("idk", F.coalesce("id", F.lit(0))).withColumn("none", F.col("id").isNull())
     rows = rows.join(per, ["none", "idk", "h"], "left").select("id", "text", "spans")
