@@ -258,7 +258,7 @@ def test_registered_graph_search_recall(spark):
     q = catalog.query_rows(p)
     truth = knn.knn(p.where(~F.col("deleted")), q, 10)
     per = evaluate.recall(catalog.graph_search(spark, sf_dir), truth, 10).collect()
-    assert len(per) == q.count() == 20
+    assert len(per) == q.count() == 100
     assert sum(r["recall"] for r in per) / len(per) >= 0.97
 
 

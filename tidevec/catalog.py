@@ -2,13 +2,14 @@
 
 The tables' ``embeddings`` have one label, so attributes are derived by the same
 arithmetic in both engines: a0 is a number below 1000, a1 a set of labels, every
-eleventh record is deleted, five records make a document.  Queries are the
-records below 20.
+eleventh record is deleted, five records make a document.  Queries are
+the records whose label is divisible by 20, against all records.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from .functions import predicates as P
 from .operators import ann, evaluate, graph, knn, mutate, stats
 from .plans import planner
 from .schema import IndexConfig, SearchConfig, record_errors
+from .shared import shared_dir
 from .sources import io
 from .streaming import trace
 
@@ -28,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 K = 10
+#: Queries are the records whose label is divisible by it.
+EVERY = 20
 BITS = 32
 FIXED_CENTROIDS = 10
 #: Derived tables for the SQL side.
@@ -37,7 +41,7 @@ WITH p AS (
          list_sort(list_distinct([CAST(label AS INTEGER), CAST((label + vec_id) % 10 AS INTEGER), CAST((label * 3 + 1) % 10 AS INTEGER)])) AS a1,
          vec_id % 11 = 0 AS deleted, vec_id // 5 AS doc_id, CAST(label AS INTEGER) AS cls
   FROM embeddings
-), q AS (SELECT label AS qid, vector AS qv, a0 AS qa0, cls AS qcls FROM p WHERE label < 20)
+), q AS (SELECT label AS qid, vector AS qv, a0 AS qa0, cls AS qcls FROM p WHERE label % 20 = 0)
 """
 
 
@@ -76,14 +80,14 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def query_rows(p: DataFrame, n: int = 20) -> DataFrame:
-    """The queries, each with a conjunction around its own number and a disjunction of its own."""
+def query_rows(p: DataFrame, every: int = EVERY) -> DataFrame:
+    """The queries, every ``every``-th label, each with a conjunction around its own number and a disjunction of its own."""
     own = F.struct(
         F.array(F.struct((F.col("a0") - 150).alias("lo"), (F.col("a0") + 150).alias("hi"))).alias("a0"),
         F.array("cls").alias("a1"), F.lit(1).alias("a1_mode"),
     )
     both = F.struct(F.array().cast("array<struct<lo:int,hi:int>>").alias("a0"), F.array(F.lit(2), F.lit(7)).alias("a1"), F.lit(1).alias("a1_mode"))
-    return p.where(F.col("label") < n).select(F.col("label").alias("qid"), "vector", F.col("a0").alias("qa0"), F.col("cls").alias("qcls"), F.array(own, both).alias("terms"))
+    return p.where(F.col("label") % every == 0).select(F.col("label").alias("qid"), "vector", F.col("a0").alias("qa0"), F.col("cls").alias("qcls"), F.array(own, both).alias("terms"))
 
 
 def shown(result: DataFrame) -> DataFrame:
@@ -136,13 +140,13 @@ _filter("filter_text", lambda: F.expr(P.as_text([[100, 400], [4]])), "a0 BETWEEN
 # -- lookups
 
 
-@query(BASE + "SELECT label, list_aggregate(vector, 'sum')::DOUBLE > 0 AS positive, len(vector)::BIGINT AS dim FROM p WHERE label IN (1, 5, 9) AND NOT deleted")
+@query(BASE + "SELECT label, i - 1 AS i, CAST(vector[i] AS DOUBLE) AS x FROM (SELECT label, vector, unnest(generate_series(1, len(vector))) AS i FROM p WHERE label % 20 = 0 AND NOT deleted)")
 def get_items(spark, sf_dir):
-    p = points(spark, sf_dir).where(~F.col("deleted"))
-    ids = spark.createDataFrame([(1,), (5,), (9,)], "label long")
-    got = ids.join(p.select("label", "vector"), "label", "left").where(F.assert_true(F.col("vector").isNotNull()).isNull())
-    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return got.select("label", (total > 0).alias("positive"), F.size("vector").cast("long").alias("dim"))
+    from .plans.index import VectorIndex
+
+    index = VectorIndex(spark, IndexConfig(dim=64, max_cate_size=10), points(spark, sf_dir))
+    got = index.get_items(index.live().where(F.col("label") % EVERY == 0))
+    return got.select("label", F.posexplode("vector").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
 
 
 @query(BASE + "SELECT label FROM p")
@@ -213,12 +217,12 @@ def knn_custom_space(spark, sf_dir):
 
 
 @query(BASE + f""", i AS (SELECT label, list_transform(vector, lambda x: CAST(floor((CAST(x AS DOUBLE) + 1.0) * 100.0) AS BIGINT)) AS v FROM p),
-    d AS (SELECT a.label AS qid, b.label, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS dist FROM i a JOIN i b ON a.label < 20),
+    d AS (SELECT a.label AS qid, b.label, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS dist FROM i a JOIN i b ON a.label % 20 = 0),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, label) AS rk FROM d) SELECT qid, rk, label, dist FROM r WHERE rk <= {K}""")
 def knn_integer(spark, sf_dir):
     whole = F.transform("vector", lambda x: F.floor((x.cast("double") + 1.0) * 100.0))
     p = points(spark, sf_dir).select("label", whole.alias("vector"))
-    q = p.where("label < 20").select(F.col("label").alias("qid"), "vector")
+    q = p.where(F.col("label") % EVERY == 0).select(F.col("label").alias("qid"), "vector")
     return knn.knn_expression(p, q, K, D.l2_int)
 
 
@@ -519,16 +523,27 @@ def relative_change(spark, sf_dir):
     return both.select("round", "variant", F.round(evaluate.relative_change(F.col("qps"), F.col("b")), 9).alias("change"), evaluate.exceeds(F.col("qps"), F.col("b")).alias("exceeds"))
 
 
-@query("SELECT 0::BIGINT AS bad_ranks, 0::BIGINT AS unsorted, 0::BIGINT AS duplicates, 0::BIGINT AS unknown")
+@query(_knn_sql(cols="qid, CASE WHEN qid % 3 = 0 THEN rk + 1 ELSE rk END AS rk, CASE WHEN qid % 7 = 0 AND rk = 2 THEN label + 100000000 ELSE label END AS label, CASE WHEN qid % 40 = 0 THEN -dist ELSE dist END AS dist").replace("SELECT qid, CASE", ", x AS (SELECT qid, CASE") + """)
+    SELECT (SELECT count(*) FROM (SELECT rk, row_number() OVER (PARTITION BY qid ORDER BY rk) AS nth FROM x) WHERE rk < 1 OR rk > 10 OR rk <> nth) AS bad_ranks,
+    (SELECT count(*) FROM (SELECT dist, lag(dist) OVER (PARTITION BY qid ORDER BY rk) AS before FROM x) WHERE before > dist) AS unsorted,
+    (SELECT count(*) - count(DISTINCT (qid, label)) FROM x) AS duplicates, (SELECT count(*) FROM x WHERE label NOT IN (SELECT label FROM p)) AS unknown""")
 def result_validation(spark, sf_dir):
+    """What the validation says of results with faults put in: ranks, order and labels of some queries."""
     p = points(spark, sf_dir)
-    return evaluate.violations(knn.knn(p, query_rows(p), K), K, p)
+    r = knn.knn(p, query_rows(p), K)
+    spoilt = r.select(
+        "qid", F.when(F.col("qid") % 3 == 0, F.col("rk") + 1).otherwise(F.col("rk")).alias("rk"),
+        F.when((F.col("qid") % 7 == 0) & (F.col("rk") == 2), F.col("label") + 100_000_000).otherwise(F.col("label")).alias("label"),
+        F.when(F.col("qid") % 40 == 0, -F.col("dist")).otherwise(F.col("dist")).alias("dist"),
+    )
+    return evaluate.violations(spoilt, K, p)
 
 
-@query()
+@query(_knn_sql(cols="qid, rk, label").replace("SELECT qid,", ", x AS (SELECT qid,") + """)
+    SELECT count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', qid, rk, label)), 1, 15) AS BIGINT)) AS VARCHAR) AS digest FROM x""")
 def result_digest(spark, sf_dir):
     p = points(spark, sf_dir)
-    return evaluate.digest(knn.knn(p, query_rows(p), K), ["qid", "rk", "label"])
+    return evaluate.text_digest(knn.knn(p, query_rows(p), K), ["qid", "rk", "label"])
 
 
 # -- graphs
@@ -539,6 +554,24 @@ _EDGES = f"""e AS (SELECT src, dst, CAST(rk - 1 AS INTEGER) AS slot, dist FROM (
   FROM (SELECT x.label AS la, y.label AS lb, {_l2("x.vector", "y.vector")} AS dist FROM p x JOIN p y ON x.label <> y.label) d JOIN p a ON a.label = la JOIN p b ON b.label = lb) WHERE rk <= {M_EDGES})"""
 
 
+
+
+def _prune(cand: str, most: int) -> str:
+    """SQL tables for diversity pruning of ``cand`` (src, dst, i, dist; i from 0, nearest first, below 63): kept(src, dst, slot, dist).
+
+    ``mask`` has a bit for each nearer candidate that is closer to this one than the source is.
+    """
+    return f"""dom AS (SELECT x.src, x.i, x.dst, x.dist, coalesce(bit_or(CASE WHEN {_l2("a.vector", "b.vector")} < x.dist THEN CAST(1 AS BIGINT) << y.i END), 0) AS mask
+      FROM {cand} x LEFT JOIN {cand} y ON x.src = y.src AND y.i < x.i LEFT JOIN p a ON a.label = x.dst LEFT JOIN p b ON b.label = y.dst GROUP BY ALL),
+    walk AS (SELECT src, -1::BIGINT AS i, 0::BIGINT AS have FROM (SELECT DISTINCT src FROM dom)
+      UNION ALL SELECT walk.src, dom.i, CASE WHEN (dom.mask & have) = 0 AND bit_count(have) < {most} THEN have | (CAST(1 AS BIGINT) << dom.i) ELSE have END FROM walk JOIN dom ON dom.src = walk.src AND dom.i = walk.i + 1),
+    kept AS (SELECT dom.src, dom.dst, dom.dist, CAST(row_number() OVER (PARTITION BY dom.src ORDER BY dom.i) - 1 AS INTEGER) AS slot
+      FROM dom JOIN (SELECT src, arg_max(have, i) AS have FROM walk GROUP BY src) w ON w.src = dom.src AND (w.have >> dom.i) & 1 = 1)"""
+
+
+RECURSIVE = BASE.replace("WITH p", "WITH RECURSIVE p")
+
+
 def edges(spark, sf_dir):
     p = points(spark, sf_dir)
     return p, graph.cut(graph.knn_graph(p, M_EDGES))
@@ -599,27 +632,75 @@ def entry_point_diag(spark, sf_dir):
     return graph.entry_diagnostic(e, p, spark.createDataFrame([(0,)], "label long"), 100)
 
 
-@query()
+@query(RECURSIVE + f""", {_EDGES}, c AS (SELECT src, dst, CAST(slot AS BIGINT) AS i, dist FROM e), {_prune("c", M_EDGES)}
+    SELECT src, dst, slot, round(dist, 9) AS dist FROM kept""")
 def rng_prune(spark, sf_dir):
     p, e = edges(spark, sf_dir)
-    return graph.rng_pruned(e, p, M_EDGES)
+    return graph.rng_pruned(e, p, M_EDGES).withColumn("dist", F.round("dist", 9))
 
 
 @query()
 def nsw_build(spark, sf_dir):
-    p, e = edges(spark, sf_dir)
-    return graph.connected(e, p, 2 * M_EDGES)
+    p = points(spark, sf_dir)
+    return graph.connected(graph.near_graph(p, M_EDGES), p, 2 * M_EDGES)
 
 
-@query()
-def graph_search(spark, sf_dir):
+def _layers(spark, sf_dir):
     p = points(spark, sf_dir)
-    wide = graph.knn_graph(p, 4 * M_EDGES)  # pruning needs more candidates than the edges it keeps
-    both = graph.cut(graph.connected(wide, p, 2 * M_EDGES))
-    return graph.search(both, p, query_rows(p), graph.spread_entries(p), K, 32)
+    return p, graph.build_layers(p, M_EDGES, 8 * M_EDGES)
 
 
 @query()
+def graph_search(spark, sf_dir):
+    p, layers = _layers(spark, sf_dir)
+    return graph.layered_search(layers, p, query_rows(p), K, 64)
+
+
+def _filtered_search(spark, sf_dir):
+    p, starts, mapping = marked(spark, sf_dir)
+    layers = graph.build_layers(p, M_EDGES, 8 * M_EDGES)
+    layers.base = graph.cut(graph.marker_edges(layers.base, p.where(~F.col("deleted")), BITS))
+    gate = M.disjunction_test(DNF, starts, mapping, BITS)
+    return p, graph.layered_search(layers, p, query_rows(p), K, 64, predicate=P.disjunction(DNF), gate=gate)
+
+
+def _floor(found: DataFrame, p: DataFrame, q: DataFrame, predicate) -> DataFrame:
+    """Per query: results, whether all are live matches at their exact distances, whether 90 % of the true ones are among them."""
+    ok = p.where(~F.col("deleted") & predicate)
+    truth = knn.knn(ok, q, K)
+    exact = found.join(ok.select("label", F.col("vector").alias("v")), "label", "left").join(q.select("qid", F.col("vector").alias("qv")), "qid")
+    fine = F.bool_and(F.col("v").isNotNull() & (F.abs(D.l2(F.col("qv"), F.col("v")) - F.col("dist")) < 1e-9))
+    per = exact.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.coalesce(fine, F.lit(False)).alias("exact"))
+    mean = evaluate.recall(found, truth, K).agg((F.avg("recall") >= 0.9).alias("recalled"))
+    return per.crossJoin(mean)
+
+
+def _floor_sql(where: str) -> str:
+    return BASE + f"SELECT qid, least({K}, (SELECT count(*) FROM p WHERE NOT deleted AND {where})) AS n, true AS exact, true AS recalled FROM q"
+
+
+@query(_floor_sql("true"))
+def graph_search_floor(spark, sf_dir):
+    p, layers = _layers(spark, sf_dir)
+    q = query_rows(p)
+    return _floor(graph.cut(graph.layered_search(layers, p, q, K, 64)), p, q, F.lit(True))
+
+
+@query(_floor_sql(DNF_SQL))
+def graph_search_filtered_floor(spark, sf_dir):
+    p, found = _filtered_search(spark, sf_dir)
+    return _floor(graph.cut(found), p, query_rows(p), P.disjunction(DNF))
+
+
+@query(BASE + f""", {_EDGES}, n1 AS (SELECT src, dst FROM e),
+    h2 AS (SELECT DISTINCT a.src, b.dst FROM n1 a JOIN n1 b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM n1 c WHERE c.src = a.src AND c.dst = b.dst)),
+    h3 AS (SELECT DISTINCT a.src, b.dst FROM h2 a JOIN n1 b ON a.dst = b.src WHERE a.src <> b.dst AND NOT EXISTS (SELECT 1 FROM n1 c WHERE c.src = a.src AND c.dst = b.dst) AND NOT EXISTS (SELECT 1 FROM h2 c WHERE c.src = a.src AND c.dst = b.dst)),
+    l AS (SELECT label, unnest(a1) AS item FROM p), rare AS (SELECT item FROM l GROUP BY item HAVING count(*) <= 0.5 * (SELECT count(*) FROM p)),
+    rl AS (SELECT l.* FROM l JOIN rare USING (item)), have AS (SELECT n1.src, rl.item, count(*) AS have FROM n1 JOIN rl ON rl.label = n1.dst GROUP BY ALL),
+    need AS (SELECT rl.label AS src, rl.item, 8 - coalesce(have, 0) AS need FROM rl LEFT JOIN have ON have.src = rl.label AND have.item = rl.item WHERE coalesce(have, 0) < 8),
+    far AS (SELECT src, dst, 2 AS hops FROM h2 UNION ALL SELECT src, dst, 3 FROM h3),
+    r AS (SELECT far.*, rl.item, need, row_number() OVER (PARTITION BY far.src, rl.item ORDER BY hops, dst) AS nth FROM far JOIN rl ON rl.label = far.dst JOIN need ON need.src = far.src AND need.item = rl.item)
+    SELECT src, dst, item, hops FROM r WHERE nth <= need""")
 def augment_same_label(spark, sf_dir):
     p, e = edges(spark, sf_dir)
     return graph.augment_same_label(e, p)
@@ -638,7 +719,14 @@ def augment_cht(spark, sf_dir):
     return graph.augment_cht(e, p, 2 * M_EDGES, 32, 16, F.array(C.numeric_slot(F.col("a0"), starts)))
 
 
-@query()
+@query(RECURSIVE + f""", {_EDGES}, near AS (SELECT label, 0 AS hops FROM p WHERE list_contains(a1, 4) AND label % 3 = 0 UNION SELECT e.dst, near.hops + 1 FROM near JOIN e ON e.src = near.label WHERE near.hops < 40),
+    h AS (SELECT label, min(hops) AS hops FROM near GROUP BY label),
+    v AS (SELECT label, label AS region, 0 AS hops FROM h WHERE hops = 0 UNION ALL SELECT e.dst, min(v.region), v.hops + 1 FROM v JOIN e ON e.src = v.label JOIN h ON h.label = e.dst AND h.hops = v.hops + 1 GROUP BY e.dst, v.hops),
+    b AS (SELECT r1, r2, arg_min((src, dst), (cost, src, dst)) AS e, min(cost) AS cost FROM (SELECT e.src, e.dst, a.region AS r1, c.region AS r2, a.hops + c.hops + 1 AS cost FROM e JOIN v a ON a.label = e.src JOIN v c ON c.label = e.dst WHERE a.region <> c.region) GROUP BY r1, r2),
+    links AS (SELECT e[1] AS src, e[2] AS dst FROM (SELECT *, row_number() OVER (PARTITION BY r1 ORDER BY cost, r2) AS nth FROM b) WHERE nth <= 4),
+    up AS (SELECT e.dst, min(e.src) AS src FROM e JOIN v a ON a.label = e.src JOIN v c ON c.label = e.dst WHERE a.region = c.region AND c.hops = a.hops + 1 GROUP BY e.dst),
+    way AS (SELECT src AS at FROM links UNION SELECT dst FROM links UNION SELECT up.src FROM way JOIN up ON up.dst = way.at)
+    SELECT src, dst FROM links UNION SELECT up.src, up.dst FROM way JOIN up ON up.dst = way.at""")
 def color_voronoi(spark, sf_dir):
     p, e = edges(spark, sf_dir)
     seeds = p.where(F.array_contains("a1", 4) & (F.col("label") % 3 == 0)).select("label")
@@ -646,10 +734,13 @@ def color_voronoi(spark, sf_dir):
     return graph.coloured(e, regions, graph.bridges(e, regions))
 
 
-@query()
+@query(RECURSIVE + f""", s AS (SELECT label, vector FROM p WHERE list_contains(a1, 4)),
+    c AS (SELECT src, dst, i, dist FROM (SELECT x.label AS src, y.label AS dst, {_l2("x.vector", "y.vector")} AS dist, row_number() OVER (PARTITION BY x.label ORDER BY {_l2("x.vector", "y.vector")}, y.label) - 1 AS i FROM s x JOIN s y ON x.label <> y.label) WHERE i < 16),
+    {_prune("c", 16)}
+    SELECT src, dst, round(dist, 9) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist DESC, dst) AS nth FROM kept) WHERE nth <= 4""")
 def color_diverse_tail(spark, sf_dir):
     p = points(spark, sf_dir)
-    return graph.diverse_tail(p, p.where(F.array_contains("a1", 4)).select("label"), 16, 4)
+    return graph.diverse_tail(p, p.where(F.array_contains("a1", 4)).select("label"), 16, 4).withColumn("dist", F.round("dist", 9))
 
 
 @query()
@@ -805,10 +896,18 @@ def patch_edges(spark, sf_dir):
     return mutate.patched(e, p, M_EDGES).select("src", "dst")
 
 
-@query()
+@query(BASE + f""", {_EDGES}, keep AS (SELECT src, dst, dist FROM e JOIN p a ON a.label = src JOIN p b ON b.label = dst WHERE NOT a.deleted AND NOT b.deleted),
+    around AS (SELECT DISTINCT mid, x FROM (SELECT src AS x, dst AS mid FROM e UNION ALL SELECT dst, src FROM e) JOIN p a ON a.label = mid AND a.deleted JOIN p b ON b.label = x AND NOT b.deleted),
+    near AS (SELECT mid, x, row_number() OVER (PARTITION BY mid ORDER BY {_l2("a.vector", "b.vector")}, x) AS nth FROM around JOIN p a ON a.label = mid JOIN p b ON b.label = x),
+    pairs AS (SELECT m.x AS src, n.x AS dst, m.mid, {_l2("a.vector", "b.vector")} AS dist FROM near m JOIN near n ON m.mid = n.mid AND m.x <> n.x AND n.nth <= 50 JOIN p a ON a.label = m.x JOIN p b ON b.label = n.x
+      WHERE NOT EXISTS (SELECT 1 FROM keep k WHERE k.src = m.x AND k.dst = n.x)),
+    best AS (SELECT DISTINCT src, dst, dist FROM (SELECT *, row_number() OVER (PARTITION BY src, mid ORDER BY dist, dst) AS nth FROM pairs) WHERE nth <= 3),
+    h AS (SELECT src, count(*) AS have FROM keep GROUP BY src),
+    fill AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS nth FROM best) LEFT JOIN h USING (src) WHERE nth + coalesce(have, 0) <= {2 * M_EDGES})
+    SELECT src, dst FROM keep UNION ALL SELECT src, dst FROM fill""")
 def delete_in_place(spark, sf_dir):
     p, e = edges(spark, sf_dir)
-    return mutate.patched(e, p, M_EDGES, per_dead=3)
+    return mutate.deleted_in_place(e, p, p.where("deleted").select("label"), 2 * M_EDGES)[0].select("src", "dst")
 
 
 @query("SELECT r::DOUBLE AS ratio, n::BIGINT AS new_deletes, CASE WHEN r >= 0.5 THEN 'rebuild' WHEN r >= 0.2 AND n >= 100000 THEN 'patch' ELSE 'none' END AS action FROM (VALUES (0.1, 200000), (0.2, 99999), (0.2, 100000), (0.49, 100000), (0.5, 0)) t(r, n)")
@@ -827,7 +926,9 @@ def rebuild_live(spark, sf_dir):
     return mutate.rebuilt(points(spark, sf_dir)).select("label", "a0")
 
 
-@query()
+@query(BASE + f""", {_EDGES}, {_MARKERS}, k AS (SELECT src, dst FROM e JOIN p a ON a.label = src JOIN p b ON b.label = dst WHERE NOT a.deleted AND NOT b.deleted),
+    n AS (SELECT k.src AS label, bit_or(m0) AS n0, bit_or(m1) AS n1 FROM k JOIN m ON m.label = k.dst GROUP BY k.src)
+    SELECT k.src, k.dst, m.m0 | coalesce(n0, 0) AS m0, m.m1 | coalesce(n1, 0) AS m1 FROM k JOIN m ON m.label = k.dst LEFT JOIN n ON n.label = k.dst""")
 def marker_cleanup(spark, sf_dir):
     p, _, _ = marked(spark, sf_dir)
     return mutate.cleaned_markers(edges(spark, sf_dir)[1], p, BITS).select("src", "dst", F.get("m0", 0).alias("m0"), F.get("m1", 0).alias("m1"))
@@ -867,19 +968,14 @@ def windowed_counts(spark, sf_dir):
     return trace.windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
-@query()
+@query(f"SELECT user_id AS label, arg_max(value, (ts, event_id)) AS value, false AS deleted FROM events GROUP BY user_id HAVING arg_max({_OPS}, (ts, event_id)) <> 'delete'")
 def stream_apply_trace(spark, sf_dir):
     """Replays the events table as a stream of mutations and returns the points it ends with."""
-    import tempfile
-
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") == "signup", "insert").otherwise("update")
     muts = stream.select(op.alias("op"), F.col("user_id").alias("label"), F.col("value").alias("value"), F.struct("ts", "event_id").alias("seq"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="replay-")
-    from uuid import uuid4
-
-    home = f"{base.rstrip('/')}/replay-{uuid4().hex}"
+    home = f"{shared_dir(spark)}/replay-{uuid4().hex}"
     kind = events.schema["value"].dataType.simpleString()
     table = trace.VersionedTable(spark, f"{home}/table")
     trace.replay(muts, table, spark.createDataFrame([], f"label long, value {kind}, deleted boolean"), f"{home}/checkpoint").awaitTermination()
@@ -916,7 +1012,10 @@ def gen_predicate_window(spark, sf_dir):
     return G.windows(points(spark, sf_dir), 20, 0.1).select("qid", "lo", "hi")
 
 
-@query()
+@query(BASE + """, r AS (SELECT a0 AS v, row_number() OVER (ORDER BY a0, label) - 1 AS rk FROM p), n AS (SELECT count(*) AS n, greatest(1, floor(count(*) * 0.1)::BIGINT) AS w FROM p),
+    s AS (SELECT i AS qid, (i * 7919 + 13) % greatest(1, n.n - n.w + 1) AS s, w FROM generate_series(0, 19) t(i), n),
+    g AS (SELECT qid, a.v AS lo, b.v AS hi FROM s JOIN r a ON a.rk = s JOIN r b ON b.rk = s + w - 1)
+    SELECT qid, count(label) AS n_match, count(label) / CAST((SELECT count(*) FROM p) AS DOUBLE) AS selectivity FROM g LEFT JOIN p ON (a0 BETWEEN lo AND hi AND list_contains(a1, 4)) OR list_has_all(a1, [2, 7]) GROUP BY qid""")
 def gen_predicate_dnf(spark, sf_dir):
     p = points(spark, sf_dir)
     q = G.dnf(p, 20, [{"range": 0.1, "labels": [4]}, {"labels": [2, 7]}])
@@ -932,16 +1031,12 @@ def export_keywords(spark, sf_dir):
     return p.select("label", "a0", F.array_join(F.col("a1").cast("array<string>"), ", ").alias("keywords"))
 
 
-@query(BASE + "SELECT label, a0, list_aggregate(list_transform(a1, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',') AS a1, len(vector)::INTEGER AS dim FROM p")
+@query(BASE + "SELECT label, a0, list_aggregate(list_transform(a1, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',') AS a1, len(vector)::INTEGER AS dim, deleted FROM p")
 def snapshot_round_trip(spark, sf_dir):
-    import tempfile
-    from uuid import uuid4
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="snapshot-")
-    path = f"{base.rstrip('/')}/snapshot-{uuid4().hex}"
+    path = f"{shared_dir(spark)}/snapshot-{uuid4().hex}"
     io.save(path, IndexConfig(dim=64, max_cate_size=10), points=points(spark, sf_dir))
     _, tables = io.load(spark, path)
-    return tables["points"].select("label", "a0", F.array_join(F.col("a1").cast("array<string>"), ",").alias("a1"), F.size("vector").alias("dim"))
+    return tables["points"].select("label", "a0", F.array_join(F.col("a1").cast("array<string>"), ",").alias("a1"), F.size("vector").alias("dim"), "deleted")
 
 
 @query(BASE + "SELECT label, a0, list_aggregate(list_transform(a1, lambda x: CAST(x AS VARCHAR)), 'string_agg', ',') AS a1 FROM p")

@@ -98,3 +98,11 @@ def rough(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
     if metric == "l2":
         return (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * p
     return 1.0 - p
+
+
+def rounding(metric: str, q: np.ndarray, x: np.ndarray) -> float:
+    """How far ``rough`` can be from the distance: it subtracts numbers of the size of the squared norms."""
+    if metric == "cosine" or not len(q) or not len(x):
+        return 1e-12
+    most = float((q * q).sum(1).max()) + float((x * x).sum(1).max())
+    return 4 * np.finfo(np.float64).eps * (q.shape[1] + 4) * most

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,10 @@ def attributes(df: DataFrame, key: str, high: int = 100_000, chances: Sequence[f
     return df.withColumn("a0", F.floor(_draw(k, 0) * high).cast("int")).withColumn("a1", F.array_compact(F.array(*labels)))
 
 
+#: Windows that are broadcast at once.
+WINDOWS_AT_ONCE = 100_000
+
+
 def windows(points: DataFrame, n_queries: int, selectivity: float, labels: Sequence[int] = (), column: str = "a0") -> DataFrame:
     """(qid, lo, hi, labels): ranges over windows of ranks that hold ``selectivity`` of the rows each.
 
@@ -48,10 +53,13 @@ def windows(points: DataFrame, n_queries: int, selectivity: float, labels: Seque
     q = points.sparkSession.range(n_queries).select(F.col("id").alias("qid"), start.alias("s"), (start + F.lit(width - 1)).alias("e"))
     lo = ranks.select(F.col("from").alias("f1"), F.col("to").alias("t1"), F.col("v").alias("lo"))
     hi = ranks.select(F.col("from").alias("f2"), F.col("to").alias("t2"), F.col("v").alias("hi"))
-    q = F.broadcast(q.limit(100_000))  # the queries asked for
     lab = F.array(*[F.lit(int(x)) for x in labels]) if labels else F.array().cast("array<int>")
-    q = lo.join(q, (F.col("s") >= F.col("f1")) & (F.col("s") < F.col("t1")))
-    return hi.join(F.broadcast(q), (F.col("e") >= F.col("f2")) & (F.col("e") < F.col("t2"))).select("qid", "lo", "hi", lab.alias("labels"))
+    out = []
+    for a in range(0, max(1, n_queries), WINDOWS_AT_ONCE):  # each part is sent to the ranks
+        part = F.broadcast(q.where(F.col("qid").between(a, a + WINDOWS_AT_ONCE - 1)))
+        part = lo.join(part, (F.col("s") >= F.col("f1")) & (F.col("s") < F.col("t1")))
+        out.append(hi.join(F.broadcast(part), (F.col("e") >= F.col("f2")) & (F.col("e") < F.col("t2"))).select("qid", "lo", "hi", lab.alias("labels")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def dnf(points: DataFrame, n_queries: int, specs: Sequence[dict]) -> DataFrame:

@@ -70,34 +70,51 @@ def range_slots(lo: int, hi: int, starts: Sequence[int]) -> list[int]:
     return list(range(slot(lo), slot(hi) + 1)) if lo <= hi else []
 
 
-def term_test(values_of: Sequence[Sequence[int]], starts: Sequence[int], mapping: dict[int, int], bits: int, modes: Sequence[int] | None = None, m0: str = "m0", m1: str = "m1") -> Column:
-    """A term against the Markers of attribute 0 (numeric) and 1 (labels).
+def term_gate(values_of: Sequence[Sequence[int]], books: Sequence, bits: int, modes: Sequence[int] | None = None, prefix: str = "m") -> Column:
+    """A term against the Markers m0, m1, ... of as many attributes as there are codebooks.
 
-    Labels without a slot match nothing when all labels are asked for.
+    A numeric attribute's book is its slot starts (a list), a label
+    attribute's its slots by label (a dict).  Labels without a slot match nothing when all labels are asked for.
     """
+    if len(values_of) != len(books):
+        raise ValueError(f"{len(books)} attributes expected, got {len(values_of)}")
     out = F.lit(True)
-    numbers, labels = values_of
-    if len(numbers) and not (modes and modes[0] == SKIP):
-        slots = sorted({s for lo, hi in pairs_of(numbers) for s in range_slots(lo, hi, starts)})
-        out = out & overlaps(F.col(m0), literal(slots, bits))
-    if len(labels) and not (modes and modes[1] == SKIP):
-        known = [mapping[x] for x in labels if mapping.get(x, -1) >= 0]
-        if modes and modes[1] == ANY:
-            out = out & overlaps(F.col(m1), literal(known, bits))
-        elif len(known) < len(labels):
+    for i, (values, book) in enumerate(zip(values_of, books)):
+        mode = None if modes is None else modes[i]
+        if not len(values) or mode == SKIP:
+            continue
+        m = F.col(f"{prefix}{i}")
+        if not isinstance(book, dict):
+            slots = sorted({s for lo, hi in pairs_of(values) for s in range_slots(lo, hi, book)})
+            out = out & overlaps(m, literal(slots, bits))
+            continue
+        known = [book[x] for x in values if book.get(x, -1) >= 0]
+        if mode == ANY:
+            out = out & overlaps(m, literal(known, bits))
+        elif len(known) < len(values):
             out = F.lit(False)
         else:
-            out = out & holds(F.col(m1), literal(known, bits))
+            out = out & holds(m, literal(known, bits))
     return out
 
 
-def disjunction_test(terms: Sequence, starts: Sequence[int], mapping: dict[int, int], bits: int, modes: Sequence | None = None, m0: str = "m0", m1: str = "m1") -> Column:
+def gate(terms: Sequence, books: Sequence, bits: int, modes: Sequence | None = None, prefix: str = "m") -> Column:
+    """Any of the terms, see ``term_gate``."""
     out = F.lit(False)
     for i, t in enumerate(terms):
-        out = out | term_test(t, starts, mapping, bits, modes[i] if modes else None, m0, m1)
+        out = out | term_gate(t, books, bits, modes[i] if modes else None, prefix)
     return out
 
 
+def term_test(values_of: Sequence[Sequence[int]], starts: Sequence[int], mapping: dict[int, int], bits: int, modes: Sequence[int] | None = None) -> Column:
+    """A term against the Markers of attribute 0 (numeric) and 1 (labels)."""
+    return term_gate(values_of, (list(starts), mapping), bits, modes)
+
+
+def disjunction_test(terms: Sequence, starts: Sequence[int], mapping: dict[int, int], bits: int, modes: Sequence | None = None) -> Column:
+    return gate(terms, (list(starts), mapping), bits, modes)
+
+
 def rates(passed: Column, matched: Column) -> list[Column]:
     """Aggregates of a pruning test: rows, passed, true and false positives, and their shares."""
     n, p = F.count(F.lit(1)), F.count_if(passed)

@@ -14,13 +14,26 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from ..schema import CATEGORICAL, MAX_TERMS, NUMERIC
 
 SKIP, ANY, ALL = -1, 0, 1
 
-#: A disjunction as data, one row per query.
-TERMS_TYPE = "array<struct<a0: array<struct<lo: int, hi: int>>, a1: array<int>, a1_mode: int>>"
+
+
+def terms_type(types: Sequence[int] = (NUMERIC, CATEGORICAL)) -> str:
+    """The type of a disjunction as data, one row per query: ranges of a numeric attribute, labels and a mode of a categorical one."""
+    parts = [f"a{i}: array<struct<lo: int, hi: int>>" if kind == NUMERIC else f"a{i}: array<int>, a{i}_mode: int" for i, kind in enumerate(types)]
+    return f"array<struct<{', '.join(parts)}>>"
+
+
+TERMS_TYPE = terms_type()
+
+
+def kinds_of(terms: StructType) -> dict[str, int]:
+    """The attributes of a term held as data, by the fields of its struct."""
+    return {f.name: NUMERIC if isinstance(f.dataType.elementType, StructType) else CATEGORICAL for f in terms.fields if isinstance(f.dataType, ArrayType)}
 
 
 def in_range(c: Column, lo: int, hi: int) -> Column:
@@ -104,16 +117,22 @@ def is_disjunction(predicates: Sequence) -> bool:
     return False
 
 
-def matches(terms: Column, a0: Column, a1: Column) -> Column:
-    """A row against a disjunction held as data (``TERMS_TYPE``), for predicates that differ by query."""
+def matches(terms: Column, a0: Column | None = None, a1: Column | None = None, attrs: dict[str, tuple[int, Column]] | None = None) -> Column:
+    """A row against a disjunction held as data (``terms_type``), for predicates that differ by query.
 
-    def one(t: Column) -> Column:
-        number = (F.coalesce(F.size(t["a0"]), F.lit(0)) == 0) | F.exists(t["a0"], lambda r: a0.between(r["lo"], r["hi"]))
-        free = (F.coalesce(F.size(t["a1"]), F.lit(0)) == 0) | (t["a1_mode"] == SKIP)
-        labels = F.when(t["a1_mode"] == ANY, F.arrays_overlap(a1, t["a1"])).otherwise(F.size(F.array_except(t["a1"], a1)) == 0)
-        return number & (free | labels)
+    ``attrs`` has the kind and column of each attribute; without it there are a0 (numeric) and a1 (labels).
+    """
+    attrs = attrs if attrs is not None else {"a0": (NUMERIC, a0), "a1": (CATEGORICAL, a1)}
+
+    def part(t: Column, name: str, kind: int, c: Column) -> Column:
+        free = F.coalesce(F.size(t[name]), F.lit(0)) == 0
+        if kind == NUMERIC:
+            return free | F.exists(t[name], lambda r: c.between(r["lo"], r["hi"]))
+        mode = t[f"{name}_mode"]
+        held = F.when(mode == ANY, F.arrays_overlap(c, t[name])).otherwise(F.size(F.array_except(t[name], c)) == 0)
+        return free | (mode == SKIP) | held
 
-    return F.exists(terms, one)
+    return F.exists(terms, lambda t: reduce(lambda a, b: a & b, [part(t, name, *attr) for name, attr in attrs.items()], F.lit(True)))
 
 
 def as_text(values_of: Sequence[Sequence[int]], types: Sequence[int] = (NUMERIC, CATEGORICAL)) -> str:

@@ -16,15 +16,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import codebook as C
 from ..functions import distance as D
 from ..functions import markers as M
 from ..functions.predicates import disjunction
-from ..schema import IndexConfig, SearchConfig
-from .knn import BLOCK_QUERIES, CHUNK_ROWS, OUT, _best, _frame, few, ranked
+from ..schema import NUMERIC, IndexConfig, SearchConfig
+from .knn import BLOCK_QUERIES, CHUNK_ROWS, OUT, _best, _frame, ranked
 
 #: Rows that k-means is trained on at most, per centroid.
 TRAIN_PER_CENTROID = 256
@@ -34,13 +34,22 @@ TRAIN_PER_CENTROID = 256
 class ClusterIndex:
     """A clustered table with its codebook and its table of clusters."""
 
-    points: DataFrame  # label, vector, a0, a1, deleted, cluster_id, m0, m1
-    clusters: DataFrame  # cluster_id, centroid, n, live, m0, m1, representative
-    starts: list[int]
-    mapping: dict[int, int]
+    points: DataFrame  # label, vector, a0, a1, ..., deleted, cluster_id, cluster_dist, m0, m1, ...
+    clusters: DataFrame  # cluster_id, centroid, n, live, m0, m1, ..., representative
+    books: list  # of each attribute: slot starts (numeric) or slots by label
     cfg: IndexConfig
     bits: int
 
+    @property
+    def starts(self) -> list[int]:
+        """Slot starts of the first numeric attribute."""
+        return next((b for b in self.books if not isinstance(b, dict)), [])
+
+    @property
+    def mapping(self) -> dict[int, int]:
+        """Slots by label of the first label attribute."""
+        return next((b for b in self.books if isinstance(b, dict)), {})
+
 
 def kmeans(points: DataFrame, k: int, seed: int = 1234, max_iter: int = 25) -> np.ndarray:
     """Centroids (k, dim), trained on a bounded sample of TRAIN_PER_CENTROID rows a centroid."""
@@ -49,6 +58,10 @@ def kmeans(points: DataFrame, k: int, seed: int = 1234, max_iter: int = 25) -> n
 
     n = points.count()
     k = max(1, min(k, n))
+    if k == 1:
+        dim = F.posexplode("vector").alias("i", "x")
+        mean = points.select(dim).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("x")).orderBy("i").collect()  # one row a component
+        return np.array([[r["x"] for r in mean]], np.float64)
     most = TRAIN_PER_CENTROID * k
     train = points if n <= most else points.where(F.pmod(F.xxhash64("label", F.lit(seed)), F.lit(n)) < most)
     rows = train.select(array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("features"))
@@ -69,7 +82,7 @@ def assigned(points: DataFrame, centroids: np.ndarray, metric: str = "l2") -> Da
         for a in range(0, len(vectors), 4096):
             x = np.stack(vectors.iloc[a : a + 4096]).astype(np.float64)
             d = D.rough(metric, x, sent.value)
-            near = d.min(axis=1)[:, None] + 1e-9 * (1 + np.abs(d).max())
+            near = d.min(axis=1)[:, None] + 1e-9 * (1 + np.abs(d).max()) + D.rounding(metric, x, sent.value)
             for i, row in enumerate(d <= near):
                 cand = np.flatnonzero(row)
                 e = D.exact_pairs(metric, np.broadcast_to(x[i], (len(cand), x.shape[1])), sent.value[cand])
@@ -81,41 +94,68 @@ def assigned(points: DataFrame, centroids: np.ndarray, metric: str = "l2") -> Da
     return points.withColumn("c", nearest("vector")).select(*points.columns, "c.cluster_id", "c.cluster_dist")
 
 
+def probing(points: DataFrame, centroids: np.ndarray, nprobe: int, metric: str = "l2") -> DataFrame:
+    """``points`` with probes: the ids of the ``nprobe`` nearest centroids, nearest first."""
+    sent = points.sparkSession.sparkContext.broadcast(np.asarray(centroids, np.float64))
+
+    @F.pandas_udf("array<int>")
+    def near(vectors: pd.Series) -> pd.Series:
+        out: list = []
+        for a in range(0, len(vectors), 4096):
+            d = D.rough(metric, np.stack(vectors.iloc[a : a + 4096]).astype(np.float64), sent.value)
+            out += list(np.argsort(d, axis=1, kind="stable")[:, :nprobe].astype(np.int32))
+        return pd.Series(out)
+
+    return points.withColumn("probes", near("vector"))
+
+
 def representatives(points: DataFrame) -> DataFrame:
     """(cluster_id, representative): the record nearest to its centroid, ties to the smaller label."""
     return points.groupBy("cluster_id").agg(F.min(F.struct("cluster_dist", "label"))["label"].alias("representative"))
 
 
-def build(points: DataFrame, cfg: IndexConfig, n_clusters: int | None = None) -> ClusterIndex:
-    """Cluster, encode Markers and summarise: points (label, vector, a0, a1, deleted)."""
+def codebooks(points: DataFrame, cfg: IndexConfig) -> list:
+    """Of each attribute: slot starts of a number, slots by label of a label set."""
+    return [
+        C.numeric_starts(points, f"a{i}", cfg.ft_bits) if kind == NUMERIC else C.map_of(C.label_slots(points, f"a{i}", cfg.ft_bits))
+        for i, kind in enumerate(cfg.attr_types)
+    ]
+
+
+def build(points: DataFrame, cfg: IndexConfig, n_clusters: int | None = None, books: list | None = None) -> ClusterIndex:
+    """Cluster, encode Markers and summarise: points (label, vector, a0, a1, ..., deleted) with the attributes of ``cfg``.
+
+    A codebook that is given is kept, so that records keep their slots.
+    """
     n = points.count()
     k = n_clusters or max(1, min(n, int(math.sqrt(n)) * 4))
-    slots = min(cfg.ft_bits, 126)
-    starts = C.numeric_starts(points, "a0", slots)
-    mapping = C.map_of(C.label_slots(points, "a1", slots))
-    metric = "l2" if cfg.space == "l2" else cfg.space
-    rows = assigned(points, kmeans(points, k), metric)
-    s0 = F.array(C.numeric_slot(F.col("a0"), starts))
-    s1 = F.transform("a1", lambda x: C.label_slot(x, mapping))
-    rows = rows.withColumn("m0", M.encode(s0, slots)).withColumn("m1", M.encode(s1, slots))
-    return summarise(rows, starts, mapping, cfg, slots)
-
-
-def summarise(rows: DataFrame, starts: list[int], mapping: dict[int, int], cfg: IndexConfig, bits: int) -> ClusterIndex:
+    books = books if books is not None else codebooks(points, cfg)
+    return summarise(marked(assigned(points, kmeans(points, k), cfg.space), books, cfg.ft_bits), books, cfg, cfg.ft_bits)
+
+
+def marked(points: DataFrame, books: list, bits: int) -> DataFrame:
+    """``points`` with a Marker m0, m1, ... of each attribute."""
+
+    def slots(c: Column, book) -> Column:
+        return F.transform(c, lambda x: C.label_slot(x, book)) if isinstance(book, dict) else F.array(C.numeric_slot(c, book))
+
+    return points.withColumns({f"m{i}": M.encode(slots(F.col(f"a{i}"), book), bits) for i, book in enumerate(books)}) if books else points
+
+
+def summarise(rows: DataFrame, books: list, cfg: IndexConfig, bits: int) -> ClusterIndex:
     live = ~F.col("deleted")
-    dim = cfg.dim
     clusters = rows.groupBy("cluster_id").agg(
-        F.array(*[F.avg(F.get("vector", i)) for i in range(dim)]).alias("centroid"),
+        F.array(*[F.avg(F.get("vector", i)) for i in range(cfg.dim)]).alias("centroid"),
         F.count(F.lit(1)).alias("n"), F.count_if(live).alias("live"),
-        M.merged_agg(F.when(live, F.col("m0")), bits).alias("m0"), M.merged_agg(F.when(live, F.col("m1")), bits).alias("m1"),
+        *[M.merged_agg(F.when(live, F.col(f"m{i}")), bits).alias(f"m{i}") for i in range(len(books))],
         F.min(F.struct("cluster_dist", "label"))["label"].alias("representative"),
     )
-    return ClusterIndex(rows, clusters, starts, mapping, cfg, bits)
+    return ClusterIndex(rows, clusters, books, cfg, bits)
 
 
 def fingerprint(points: DataFrame, cfg: IndexConfig, n_clusters: int | None) -> str:
     """What a kept clustering depends on: the rows, whatever their order, and the settings."""
-    h = F.xxhash64("label", "vector", "a0", "a1", "deleted")
+    h = F.xxhash64("label", "vector", *[f"a{i}" for i in range(len(cfg.attr_types))], "deleted")
     r = points.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first()
     return f"{list(r)} {cfg.manifest()} {n_clusters}"
 
@@ -131,9 +171,18 @@ def kept(points: DataFrame, cfg: IndexConfig, path: str, n_clusters: int | None
     if meta.get("fingerprint") != mark:
         index = build(points, cfg, n_clusters)
         index.points.write.mode("overwrite").parquet(f"{path}/points")
-        meta = {"fingerprint": mark, "starts": index.starts, "mapping": sorted(index.mapping.items()), "bits": index.bits}
+        meta = {"fingerprint": mark, "books": books_out(index.books), "bits": index.bits}
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/identity")
-    return summarise(spark.read.parquet(f"{path}/points"), meta["starts"], {int(a): int(b) for a, b in meta["mapping"]}, cfg, meta["bits"])
+    return summarise(spark.read.parquet(f"{path}/points"), books_in(meta["books"]), cfg, meta["bits"])
+
+
+def books_out(books: list) -> list:
+    """Codebooks as JSON holds them."""
+    return [{"labels": sorted(b.items())} if isinstance(b, dict) else {"starts": [int(x) for x in b]} for b in books]
+
+
+def books_in(kept: list) -> list:
+    return [{int(a): int(b) for a, b in x["labels"]} if "labels" in x else list(x["starts"]) for x in kept]
 
 
 def probes(index: ClusterIndex, queries: DataFrame, search: SearchConfig, terms: list | None = None, modes: list | None = None) -> DataFrame:
@@ -145,7 +194,7 @@ def probes(index: ClusterIndex, queries: DataFrame, search: SearchConfig, terms:
     """
     passes = F.lit(True)
     if terms is not None and search.use_markers:
-        passes = M.disjunction_test(terms, index.starts, index.mapping, index.bits, modes)
+        passes = M.gate(terms, index.books, index.bits, modes)
     c = index.clusters.select("cluster_id", "centroid", passes.alias("passes"))
     q = queries.select("qid", F.col("vector").alias("qv"))
     d = D.distance(index.cfg.space, F.col("qv"), F.col("centroid"))
@@ -160,44 +209,28 @@ def probes(index: ClusterIndex, queries: DataFrame, search: SearchConfig, terms:
 
 
 def search(index: ClusterIndex, queries: DataFrame, k: int = 10, config: SearchConfig = SearchConfig(), terms: list | None = None, modes: list | None = None) -> DataFrame:
-    """(qid, rk, label, dist): exact search inside the probed clusters, live and matching records only.
-
-    Few queries travel with their clusters' rows; beyond that blocks of a
-    cluster's queries meet blocks of its rows.
-    """
+    """(qid, rk, label, dist): exact search inside the probed clusters, live and matching records only."""
     live = index.points.where(~F.col("deleted"))
     if terms is not None:
         live = live.where(disjunction(terms, modes, index.cfg.attr_types))
     chosen = probes(index, queries, config, terms, modes)
-    q = queries.select("qid", F.col("vector").alias("qv"))
-    if not few(queries):
-        return ranked(_in_blocks(live, chosen.join(q, "qid"), index, queries.count(), k), k)
-    work = chosen.join(q, "qid").groupBy("cluster_id").agg(F.collect_list("qid").alias("qids"), F.collect_list("qv").alias("qvs"))
-    rows = live.select("cluster_id", "label", "vector").join(work, "cluster_id")
-    metric = index.cfg.space
-
-    def per_batch(it):
-        for pdf in it:
-            held = []
-            for _, part in pdf.groupby("cluster_id", sort=False):
-                qids = np.array(part["qids"].iloc[0])
-                qv = np.stack([np.asarray(v, np.float64) for v in part["qvs"].iloc[0]])
-                x = np.stack(part["vector"]).astype(np.float64)
-                held += _best(qids, qv, None, part["label"].to_numpy(), x, None, None, metric, k, False, None)
-            yield _frame(held)
-
-    return ranked(rows.mapInPandas(per_batch, OUT), k)
-
-
-def _in_blocks(live: DataFrame, work: DataFrame, index: ClusterIndex, n_queries: int, k: int) -> DataFrame:
-    """(qid, label, dist) of the ``k`` best rows of each block, for ``work`` (qid, cluster_id, qv) of many queries."""
-    largest = index.clusters.agg(F.max("n")).first()[0] or 0
-    q_blocks, p_blocks = -(-n_queries // BLOCK_QUERIES), max(1, -(-largest // (4 * CHUNK_ROWS)))
-    work = work.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int"))
-    rows = live.select(F.col("cluster_id").alias("c"), "label", "vector", F.pmod(F.xxhash64("label"), F.lit(p_blocks)).cast("int").alias("p"))
-    rows = rows.join(work.select(F.col("cluster_id").alias("c"), F.col("qb").alias("q")).distinct(), "c")
-    work = work.withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1))))
-    metric = index.cfg.space
+    visits = chosen.join(queries.select("qid", F.col("vector").alias("qv")), "qid").withColumnRenamed("cluster_id", "c")
+    return ranked(in_blocks(live.select(F.col("cluster_id").alias("c"), "label", "vector"), visits, index.cfg.space, k), k)
+
+
+def in_blocks(rows: DataFrame, visits: DataFrame, metric: str, k: int, self_excluded: bool = False) -> DataFrame:
+    """(qid, label, dist): the ``k`` best rows of each block for the ``visits`` (c, qid, qv) of its cluster; rows are (c, label, vector).
+
+    A cluster's rows and visits are dealt to as many blocks as their numbers
+    ask for, each pair of which is one group; a pair sends on ``k`` rows a query at most.
+    """
+    rows, visits = rows.withColumn("c", F.col("c").cast("long")), visits.withColumn("c", F.col("c").cast("long"))
+    size = rows.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(4 * CHUNK_ROWS)).cast("int").alias("pn"))
+    asked = visits.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_QUERIES)).cast("int").alias("qn"))
+    plan = size.join(asked, "c")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ps = rows.join(plan, "c").withColumn("pb", F.pmod(F.xxhash64("label"), F.col("pn")).cast("int")).withColumn("qb", upto("qn"))
+    qs = visits.join(plan, "c").withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("qn")).cast("int")).withColumn("pb", upto("pn"))
 
     def pair(key: tuple, qpdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
         held: list[tuple] = []
@@ -205,26 +238,16 @@ def _in_blocks(live: DataFrame, work: DataFrame, index: ClusterIndex, n_queries:
             qv = np.stack(qpdf["qv"]).astype(np.float64)
             for a in range(0, len(pdf), CHUNK_ROWS):
                 part = pdf.iloc[a : a + CHUNK_ROWS]
-                held += _best(qpdf["qid"].to_numpy(), qv, None, part["label"].to_numpy(), np.stack(part["vector"]).astype(np.float64), None, None, metric, k, False, None)
+                held += _best(qpdf["qid"].to_numpy(), qv, None, part["label"].to_numpy(), np.stack(part["vector"]).astype(np.float64), None, metric, k, self_excluded, None)
         return _frame(held)
 
-    return work.groupBy("cluster_id", "qb", "pb").cogroup(rows.groupBy("c", "q", "p")).applyInPandas(pair, OUT)
-
-
-def estimated_rows(index: ClusterIndex, terms: list) -> DataFrame:
-    """(cluster_id, estimate): an upper estimate of matching rows by the records' slot counts, summed over terms."""
-    out = None
-    for numbers, labels in terms:
-        parts = []
-        if len(numbers):
-            slots = sorted({s for a, b in zip(numbers[::2], numbers[1::2]) for s in M.range_slots(a, b, index.starts)})
-            parts.append(M.overlaps(F.col("m0"), M.literal(slots, index.bits)))
-        if len(labels):
-            known = [index.mapping[x] for x in labels if index.mapping.get(x, -1) >= 0]
-            parts.append(M.holds(F.col("m1"), M.literal(known, index.bits)) if len(known) == len(labels) else F.lit(False))
-        hit = F.lit(True)
-        for p in parts:
-            hit = hit & p
-        one = F.count_if(hit & ~F.col("deleted"))
-        out = one if out is None else out + one
-    return index.points.groupBy("cluster_id").agg((out if out is not None else F.lit(0)).alias("estimate"))
+    qs, ps = qs.select("c", "qb", "pb", "qid", "qv"), ps.select("c", "qb", "pb", "label", "vector")
+    return qs.groupBy("c", "qb", "pb").cogroup(ps.groupBy("c", "qb", "pb")).applyInPandas(pair, OUT)
+
+
+def estimated_rows(index: ClusterIndex, terms: list, modes: list | None = None) -> DataFrame:
+    """(cluster_id, estimate): an upper estimate of matching rows by the records' Markers, summed over terms."""
+    out = F.lit(0)
+    for i, t in enumerate(terms):
+        out = out + F.count_if(M.term_gate(t, index.books, index.bits, modes[i] if modes else None) & ~F.col("deleted"))
+    return index.points.groupBy("cluster_id").agg(out.alias("estimate"))

@@ -95,3 +95,9 @@ def digest(df: DataFrame, order: list[str]) -> DataFrame:
     """
     h = F.xxhash64(*[F.col(c) for c in order])
     return df.agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(h).alias("xor"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("sum"))
+
+
+def text_digest(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The same by MD5 of the rows as text, which other engines can compute: the sum of the first 60 bits of each."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols])), 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("decimal(38,0)").cast("string").alias("digest"))

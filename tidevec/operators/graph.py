@@ -2,30 +2,48 @@
 
 An edge is (src, dst, slot, dist); slots of a source are numbered from 0,
 nearest first.  Traversals are loops of joins whose state is written between
-rounds, with a stated cap on their number.
+rounds; they go on until nothing changes, unless a number of rounds is asked for.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
-from .knn import knn
+from ..shared import shared_dir
+from .knn import knn, ranked
 
 EDGE = "src long, dst long, slot int, dist double"
+#: Entry points that all queries start from, at most; seeds of each query's own have no such bound.
+MAX_ENTRIES = 1024
+
+
+def spread_entries(points: DataFrame) -> DataFrame:
+    """(label) of about sqrt(rows) points picked by hash, half of MAX_ENTRIES at most: entries to every part of a graph."""
+    n = points.count()
+    h = F.xxhash64("label")
+    first = points.orderBy(h, "label").limit(1).select("label")
+    share = max(1, int(n**0.5), -(-2 * n // MAX_ENTRIES))
+    return first.union(points.where(F.pmod(h, F.lit(share)) == 0).select("label")).distinct()
+
+
+def markers_of(df: DataFrame) -> list[str]:
+    """The Marker columns m0, m1, ... of a table."""
+    return [c for c in df.columns if re.fullmatch(r"m\d+", c)]
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut in the shared checkpoint folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoints-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -116,17 +134,28 @@ def two_hop(edges: DataFrame) -> DataFrame:
     return far.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_hops: int = 30) -> DataFrame:
-    """(label, hops) of what ``starts`` (label) reach, breadth first."""
+def rounds(most: int | None) -> Iterator[int]:
+    """1, 2, ... up to ``most``, without an end if that is None."""
+    return itertools.count(1) if most is None else iter(range(1, most + 1))
+
+
+def grown(seen: DataFrame, front: DataFrame, hop: int) -> DataFrame:
+    """``seen`` and ``front``; cut now and then, so that a long way doesn't make a long plan."""
+    both = seen.unionByName(front.select(*seen.columns))
+    return both if hop % 8 else cut(both)
+
+
+def reachable(edges: DataFrame, starts: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(label, hops) of what ``starts`` (label) reach, breadth first, in up to ``max_hops`` if that is given."""
     seen = starts.select("label").distinct().withColumn("hops", F.lit(0))
     front = seen
     e = edges.select("src", "dst")
-    for hop in range(1, max_hops + 1):
+    for hop in rounds(max_hops):
         step = e.join(front.select(F.col("label").alias("src")), "src").select(F.col("dst").alias("label")).distinct()
         front = cut(step.join(seen.select("label"), "label", "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen = grown(seen, front, hop)
     return seen
 
 
@@ -143,12 +172,12 @@ def entry_diagnostic(edges: DataFrame, points: DataFrame, entry: DataFrame, n_or
     )
 
 
-def partitioned(edges: DataFrame, entries: DataFrame, max_rounds: int = 30, buckets_each: int = 2) -> DataFrame:
+def partitioned(edges: DataFrame, entries: DataFrame, max_rounds: int | None = None, buckets_each: int = 2) -> DataFrame:
     """(label, bucket): breadth-first growth from all entries at once; a point joins its first ``buckets_each`` buckets."""
     have = entries.select("label", F.col("label").alias("bucket"), F.lit(0).alias("hops"))
     front = have
     e = edges.select("src", "dst")
-    for hop in range(1, max_rounds + 1):
+    for hop in rounds(max_rounds):
         step = front.join(e, front["label"] == e["src"]).select(F.col("dst").alias("label"), "bucket").distinct()
         step = step.join(have.select("label", "bucket"), ["label", "bucket"], "left_anti").withColumn("hops", F.lit(hop))
         full = have.groupBy("label").agg(F.count(F.lit(1)).alias("have"))
@@ -156,22 +185,23 @@ def partitioned(edges: DataFrame, entries: DataFrame, max_rounds: int = 30, buck
         front = cut(step.where(F.col("nth") + F.coalesce("have", F.lit(0)) <= buckets_each).select("label", "bucket", "hops"))
         if front.isEmpty():
             break
-        have = have.unionByName(front)
+        have = grown(have, front, hop)
     return have
 
 
 def augment_same_label(edges: DataFrame, points: DataFrame, min_same: int = 8, max_hops: int = 3, most_common: float = 0.5, max_degree: int | None = None) -> DataFrame:
-    """Added edges (src, dst, item) so that points have ``min_same`` neighbours of each of their labels.
+    """Added edges (src, dst, item, hops) so that points have ``min_same`` neighbours of each of their labels.
 
     Labels of more than ``most_common`` of the points are left alone.  Points
     two or up to ``max_hops`` edges away that have the label too are taken,
-    nearest in hops first, then by label.
+    nearest in hops first, then by label.  With ``max_degree`` a source takes
+    no more than its free places, rarest labels first; ``with_added`` puts the result into the edges.
     """
     n = points.count()
     lists = points.select("label", F.explode("a1").alias("item"))
-    rare = lists.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most_common * n).select("item")
-    lists = lists.join(F.broadcast(rare), "item")
-    dst_lists = lists.select(F.col("label").alias("dst"), "item")
+    rare = lists.groupBy("item").agg(F.count(F.lit(1)).alias("often")).where(F.col("often") <= most_common * n)
+    lists = lists.join(rare, "item")
+    dst_lists = lists.select(F.col("label").alias("dst"), "item", "often")
     now = edges.select("src", "dst").join(dst_lists, "dst").groupBy("src", "item").agg(F.count(F.lit(1)).alias("have"))
     need = lists.select(F.col("label").alias("src"), "item").join(now, ["src", "item"], "left").na.fill(0, ["have"])
     need = need.withColumn("need", F.lit(min_same) - F.col("have")).where("need > 0")
@@ -184,19 +214,36 @@ def augment_same_label(edges: DataFrame, points: DataFrame, min_same: int = 8, m
         near = near.unionByName(step)
     cand = near.where("hops > 1").join(dst_lists, "dst").join(need.select("src", "item", "need"), ["src", "item"])
     nth = F.row_number().over(Window.partitionBy("src", "item").orderBy("hops", "dst"))
-    return cand.withColumn("nth", nth).where(F.col("nth") <= F.col("need")).select("src", "dst", "item", "hops")
+    out = cand.withColumn("nth", nth).where(F.col("nth") <= F.col("need"))
+    if max_degree is not None:
+        have = edges.groupBy("src").agg(F.count(F.lit(1)).alias("have"))
+        place = F.dense_rank().over(Window.partitionBy("src").orderBy("first", "dst"))
+        first = F.min(F.struct("often", "item", "nth")).over(Window.partitionBy("src", "dst"))
+        out = out.withColumn("first", first).withColumn("place", place).join(have, "src", "left").where(F.col("place") + F.coalesce("have", F.lit(0)) <= max_degree)
+    return out.select("src", "dst", "item", "hops")
+
+
+def with_added(edges: DataFrame, added: DataFrame, points: DataFrame, metric: str = "l2") -> DataFrame:
+    """Edges (src, dst, slot, dist) with ``added`` (src, dst, ...) among them, at their distances."""
+    new = added.select("src", "dst").distinct().join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    a = points.select(F.col("label").alias("src"), F.col("vector").alias("v1"))
+    b = points.select(F.col("label").alias("dst"), F.col("vector").alias("v2"))
+    new = new.join(a, "src").join(b, "dst").select("src", "dst", D.distance(metric, F.col("v1"), F.col("v2")).alias("dist"))
+    return slotted(edges.select("src", "dst", "dist").unionByName(new))
 
 
 def augment_by_marker(edges: DataFrame, points: DataFrame, min_same: int = 4, max_hops: int = 3, max_degree: int = 32) -> DataFrame:
-    """All edges, with up to ``min_same`` neighbours that cover the source's own Marker (columns m0, m1).
+    """All edges, with up to ``min_same`` neighbours that cover the source's own Markers (columns m0, m1, ...).
 
     Missing ones come from up to ``max_hops`` edges away; where a source is full, its farthest other edges give way.
     """
     from ..functions.markers import covers
 
-    src = points.select(F.col("label").alias("src"), F.col("m0").alias("s0"), F.col("m1").alias("s1"))
-    dst = points.select(F.col("label").alias("dst"), "m0", "m1", "vector")
-    own = lambda df: df.join(src, "src").join(dst, "dst").where(covers(F.col("m0"), F.col("s0")) & covers(F.col("m1"), F.col("s1")))
+    ms = markers_of(points)
+    src = points.select(F.col("label").alias("src"), *[F.col(m).alias(f"own_{m}") for m in ms])
+    dst = points.select(F.col("label").alias("dst"), *ms, "vector")
+    hold = reduce(lambda a, b: a & b, [covers(F.col(m), F.col(f"own_{m}")) for m in ms], F.lit(True))
+    own = lambda df: df.join(src, "src").join(dst, "dst").where(hold)
     same = own(edges.select("src", "dst", "dist")).select("src", "dst", "dist", F.lit(1).alias("same"))
     have = same.groupBy("src").agg(F.count(F.lit(1)).alias("have"))
     near = edges.select("src", "dst")
@@ -231,17 +278,17 @@ def augment_cht(edges: DataFrame, points: DataFrame, max_degree: int, efc: int =
     return slotted(every.withColumn("nth", keep).where(F.col("nth") <= max_degree))
 
 
-def voronoi(edges: DataFrame, seeds: DataFrame, max_rounds: int = 30) -> DataFrame:
+def voronoi(edges: DataFrame, seeds: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(label, region, hops): the seed that reaches each point first, ties to the smaller seed."""
     best = seeds.select("label", F.col("label").alias("region"), F.lit(0).alias("hops"))
     front = best
     e = edges.select("src", "dst")
-    for hop in range(1, max_rounds + 1):
+    for hop in rounds(max_rounds):
         step = front.join(e, front["label"] == e["src"]).groupBy(F.col("dst").alias("label")).agg(F.min("region").alias("region"))
         front = cut(step.join(best.select("label"), "label", "left_anti").withColumn("hops", F.lit(hop)))
         if front.isEmpty():
             break
-        best = best.unionByName(front.select("label", "region", "hops"))
+        best = grown(best, front, hop)
     return best
 
 
@@ -255,18 +302,18 @@ def bridges(edges: DataFrame, regions: DataFrame, k: int = 4) -> DataFrame:
     return best.withColumn("nth", nth).where(F.col("nth") <= k).select("region", "other", "b.src", "b.dst", "b.cost")
 
 
-def coloured(edges: DataFrame, regions: DataFrame, links: DataFrame, max_rounds: int = 30) -> DataFrame:
+def coloured(edges: DataFrame, regions: DataFrame, links: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(src, dst): edges on the paths from the seeds over the bridges, which get the bit."""
     tree = edges.select("src", "dst").join(regions.select(F.col("label").alias("src"), F.col("region").alias("r1"), F.col("hops").alias("h1")), "src")
     tree = tree.join(regions.select(F.col("label").alias("dst"), F.col("region").alias("r2"), F.col("hops").alias("h2")), "dst").where("r1 = r2 and h2 = h1 + 1")
     up = tree.groupBy("dst").agg(F.min("src").alias("src"))
     out = links.select("src", "dst")
     front = links.select(F.col("src").alias("dst")).union(links.select("dst")).distinct()
-    for _ in range(max_rounds):
+    for hop in rounds(max_rounds):
         step = cut(up.join(front, "dst").select("src", "dst").distinct())
         if step.isEmpty():
             break
-        out = out.union(step)
+        out = grown(out, step, hop)
         front = step.select(F.col("src").alias("dst")).distinct()
     return out.distinct()
 
@@ -280,45 +327,192 @@ def diverse_tail(points: DataFrame, seeds: DataFrame, k_top: int, k_tail: int, m
     return kept.withColumn("nth", nth).where(F.col("nth") <= k_tail).select("src", "dst", "dist")
 
 
-def spread_entries(points: DataFrame) -> DataFrame:
-    """(label) of about sqrt(rows) points picked by hash, one at least: entries to every part of a graph."""
+def near_graph(points: DataFrame, m: int, metric: str = "l2", nprobe: int = 8, per_cluster: int = 64) -> DataFrame:
+    """Each point's ``m`` nearest others among the points of its ``nprobe`` nearest clusters: edges without all pairs.
+
+    A point meets about ``nprobe`` clusters' rows, so the work grows with
+    rows * sqrt(rows) at most; a large cluster's rows and its visitors are dealt to blocks.
+    """
+    from . import ann
+
     n = points.count()
-    h = F.xxhash64("label")
-    first = points.orderBy(h, "label").limit(1).select("label")
-    return first.union(points.where(F.pmod(h, F.lit(max(1, int(n**0.5)))) == 0).select("label")).distinct()
+    centroids = ann.kmeans(points, max(1, min(n // per_cluster, int(n**0.5) * 4)))
+    rows = cut(ann.probing(points.select("label", "vector"), centroids, nprobe, metric))
+    homes = rows.select(F.get("probes", 0).alias("c"), "label", "vector")
+    visits = rows.select(F.explode("probes").alias("c"), F.col("label").alias("qid"), F.col("vector").alias("qv"))
+    near = ann.in_blocks(homes, visits, metric, m, self_excluded=True)
+    return slotted(near.select(F.col("qid").alias("src"), F.col("label").alias("dst"), "dist"), m)
+
+
+@dataclass
+class Layers:
+    """A graph of two layers: ``base`` over all points, ``upper`` over those of level 1, and its entry points."""
 
+    base: DataFrame  # src, dst, slot, dist
+    upper: DataFrame
+    entry: DataFrame  # label
 
-def search(edges: DataFrame, points: DataFrame, queries: DataFrame, entry: int | DataFrame, k: int = 10, ef: int = 64, metric: str = "l2", max_rounds: int = 64) -> DataFrame:
+
+def levels(points: DataFrame, m: int, seed: int = 100) -> DataFrame:
+    """(label, level): level 1 for about one point in ``m``, by a hash of label and seed, 0 for the others."""
+    return points.select("label", F.when(F.pmod(F.xxhash64("label", F.lit(seed)), F.lit(max(2, m))) == 0, 1).otherwise(0).alias("level"))
+
+
+def build_layers(points: DataFrame, m: int = 16, ef_construction: int = 64, metric: str = "l2", seed: int = 100, nprobe: int = 8, planned: DataFrame | None = None) -> Layers:
+    """Both layers: near candidates, pruned for diversity and connected both ways; ``planned`` can give the levels (label, level).
+
+    The base layer keeps ``2 * m`` edges a point, the upper one ``m``.
+    """
+    lv = planned if planned is not None else levels(points, m, seed)
+    top = cut(points.join(lv.where("level > 0").select("label"), "label", "left_semi"))
+    if top.isEmpty():
+        top = points.orderBy("label").limit(1)
+    layer = lambda p, most, wide: cut(connected(rng_pruned(near_graph(p, wide, metric, nprobe), p, most, metric), p, most, metric))
+    base = layer(points, 2 * m, max(2 * m, ef_construction))
+    upper = layer(top, m, max(m, ef_construction // 2))
+    return Layers(base, upper, cut(spread_entries(top)))
+
+
+def gated(edges: DataFrame, passes: Column, floor: int = 10) -> DataFrame:
+    """The edges that a search under one predicate may walk.
+
+    Those whose Markers pass, and for sources with fewer than ``floor`` of them
+    the nearest others up to that number, as routing.  Markers never refuse a
+    match, and what is reached is admitted by the exact predicate only.
+    """
+    order = Window.partitionBy("src").orderBy(F.desc("passes"), "slot")
+    marked = edges.withColumn("passes", F.coalesce(passes, F.lit(True)))
+    return marked.withColumn("nth", F.row_number().over(order)).where(F.col("passes") | (F.col("nth") <= floor)).drop("nth", "passes")
+
+
+def search(edges: DataFrame, points: DataFrame, queries: DataFrame, entry: int | DataFrame, k: int = 10, ef: int = 64, metric: str = "l2", predicate: Column | None = None, stats: bool = False) -> DataFrame:
     """Best-first graph search of a batch of queries, as rounds of frontier joins.
 
-    It starts from one point or from the points of a table (label).  Each query
-    keeps its ``ef`` best points; a round expands those not expanded yet.  It
-    ends when no query finds a better point.  (qid, rk, label, dist) of live points.
+    It starts from one point, or from points of a table: (label) for all
+    queries or (qid, label) for each.  Each query keeps its ``ef`` best points
+    and its ``ef`` best that are live and match ``predicate``; a round expands
+    those not expanded yet, tombstones and other points too, as they lead to
+    more.  It ends when no query finds a better point.  (qid, rk, label, dist) of
+    live, matching points; with ``stats`` also the distances computed and the rounds.
     """
     q = queries.select("qid", F.col("vector").alias("qv"))
-    v = points.select("label", "vector")
-    first = v.join(F.broadcast(entry.select("label")), "label", "left_semi") if isinstance(entry, DataFrame) else v.where(F.col("label") == entry)
-    start = q.crossJoin(first).select("qid", "label", D.distance(metric, F.col("qv"), F.col("vector")).alias("dist"), F.lit(False).alias("done"))
-    pool = cut(start)
+    fine = predicate if predicate is not None else F.lit(True)
+    if "deleted" in points.columns:
+        fine = ~F.col("deleted") & fine
+    v = points.select("label", "vector", F.coalesce(fine, F.lit(False)).alias("ok"))
+    if isinstance(entry, DataFrame) and "qid" in entry.columns:
+        first = entry.select("qid", "label").distinct()
+    elif isinstance(entry, DataFrame):
+        starts = entry.select("label").distinct()
+        if starts.limit(MAX_ENTRIES + 1).count() > MAX_ENTRIES:
+            raise ValueError(f"more than {MAX_ENTRIES} entry points for all queries: give each query its own")
+        first = queries.select("qid").crossJoin(F.broadcast(starts))
+    else:
+        first = queries.select("qid", F.lit(entry).cast("long").alias("label"))
+    scored = lambda df, hop: df.join(v, "label").join(q, "qid").select("qid", "label", D.distance(metric, F.col("qv"), F.col("vector")).alias("dist"), "ok", F.lit(False).alias("done"), F.lit(hop).alias("hop"))
     best = Window.partitionBy("qid").orderBy("dist", "label")
-    for _ in range(max_rounds):
+    best_ok = Window.partitionBy("qid", "ok").orderBy("dist", "label")
+    ahead = edges.select("src", F.col("dst").alias("label"))
+    new = cut(scored(first, 0))
+    pool, counts = new, [new.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))]
+    hop = 0
+    while True:
+        hop += 1
         front = pool.where("not done").select("qid", F.col("label").alias("src"))
-        new = front.join(edges.select("src", F.col("dst").alias("label")), "src").select("qid", "label").distinct()
-        new = new.join(pool.select("qid", "label"), ["qid", "label"], "left_anti").join(v, "label").join(q, "qid")
-        new = new.select("qid", "label", D.distance(metric, F.col("qv"), F.col("vector")).alias("dist"), F.lit(False).alias("done"))
-        pool = pool.withColumn("done", F.lit(True)).unionByName(new).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= ef).drop("nth")
-        pool = cut(pool)
+        met = front.join(ahead, "src").select("qid", "label").distinct().join(pool.select("qid", "label"), ["qid", "label"], "left_anti")
+        new = scored(met, hop)
+        if stats:
+            new = cut(new)
+            counts.append(new.groupBy("qid").agg(F.count(F.lit(1)).alias("n")))
+        pool = pool.withColumn("done", F.lit(True)).unionByName(new)
+        pool = pool.withColumn("nth", F.row_number().over(best)).withColumn("nth_ok", F.row_number().over(best_ok))
+        pool = cut(pool.where((F.col("nth") <= ef) | (F.col("ok") & (F.col("nth_ok") <= max(ef, k)))).drop("nth", "nth_ok"))
         if pool.where("not done").isEmpty():
             break
-    live = pool.join(points.where(~F.col("deleted")).select("label"), "label", "left_semi") if "deleted" in points.columns else pool
-    return live.withColumn("rk", F.row_number().over(best).cast("long")).where(F.col("rk") <= k).select("qid", "rk", "label", "dist")
+    out = pool.where("ok").withColumn("rk", F.row_number().over(best).cast("long")).where(F.col("rk") <= k).select("qid", "rk", "label", "dist")
+    if not stats:
+        return out
+    every = reduce(DataFrame.unionByName, counts).groupBy("qid").agg(F.sum("n").alias("n_distances"))
+    return out.join(every, "qid").withColumn("hops", F.lit(hop))
+
+
+def descend(layers: Layers, points: DataFrame, queries: DataFrame, ef_top: int = 4, metric: str = "l2") -> DataFrame:
+    """(qid, label): each query's ``ef_top`` best points of the upper layer, found from the entry point."""
+    bare = points.select("label", "vector")
+    return search(layers.upper, bare, queries, layers.entry, ef_top, max(ef_top, 8), metric).select("qid", "label")
+
+
+def layered_search(
+    layers: Layers, points: DataFrame, queries: DataFrame, k: int = 10, ef: int = 64, metric: str = "l2",
+    predicate: Column | None = None, gate: Column | None = None, floor: int = 10, ef_top: int = 4, stats: bool = False,
+) -> DataFrame:
+    """Search of both layers: seeds from the upper one, then the base layer's edges, those that ``gate`` (over m0, m1) lets through."""
+    base = layers.base if gate is None else cut(gated(layers.base, gate, floor))
+    return search(base, points, queries, descend(layers, points, queries, ef_top, metric), k, ef, metric, predicate, stats)
+
+
+def two_hop_scan(edges: DataFrame, points: DataFrame, queries: DataFrame, found: DataFrame, k: int = 10, metric: str = "l2", predicate: Column | None = None) -> DataFrame:
+    """(qid, rk, label, dist): ``found`` (qid, label) and all that is up to two edges from it, scored and admitted exactly."""
+    ahead = edges.select(F.col("src").alias("label"), "dst")
+    one = found.select("qid", "label").join(ahead, "label").select("qid", F.col("dst").alias("label"))
+    two = one.distinct().join(ahead, "label").select("qid", F.col("dst").alias("label"))
+    every = found.select("qid", "label").union(one).union(two).distinct()
+    fine = predicate if predicate is not None else F.lit(True)
+    live = points.where((~F.col("deleted") & fine) if "deleted" in points.columns else fine).select("label", "vector")
+    pairs = every.join(live, "label").join(queries.select("qid", F.col("vector").alias("qv")), "qid")
+    return ranked(pairs.select("qid", "label", D.distance(metric, F.col("qv"), F.col("vector")).alias("dist")), k)
 
 
 def marker_edges(edges: DataFrame, points: DataFrame, bits: int) -> DataFrame:
-    """Edges with the Marker of what lies behind them: the destination's and its neighbours' bits."""
+    """Edges with the Markers of what lies behind them: the destination's and its neighbours' bits, for every attribute."""
     from ..functions.markers import merged, merged_agg
 
-    m = points.select(F.col("label").alias("dst"), "m0", "m1")
-    behind = edges.select("src", "dst").join(m, "dst").groupBy(F.col("src").alias("dst")).agg(merged_agg(F.col("m0"), bits).alias("n0"), merged_agg(F.col("m1"), bits).alias("n1"))
+    ms = markers_of(points)
+    m = points.select(F.col("label").alias("dst"), *ms)
+    behind = edges.select("src", "dst").join(m, "dst").groupBy(F.col("src").alias("dst")).agg(*[merged_agg(F.col(c), bits).alias(f"behind_{c}") for c in ms])
     out = edges.join(m, "dst").join(behind, "dst", "left")
-    return out.select("src", "dst", "slot", "dist", merged(F.col("m0"), F.coalesce("n0", "m0")).alias("m0"), merged(F.col("m1"), F.coalesce("n1", "m1")).alias("m1"))
+    return out.select("src", "dst", "slot", "dist", *[merged(F.col(c), F.coalesce(f"behind_{c}", c)).alias(c) for c in ms])
+
+
+def painted(marked: DataFrame, paths: DataFrame, column: str, bits: int, slot: int) -> DataFrame:
+    """``marked`` edges with the bit of ``slot`` set in Marker ``column`` along ``paths`` (src, dst), both ways, as colouring ends."""
+    from ..functions.markers import literal, merged
+
+    on = paths.select("src", "dst").union(paths.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().withColumn("__on", F.lit(True))
+    word = F.array(*[F.lit(x).cast("long") for x in literal([slot], bits)])
+    out = marked.join(on, ["src", "dst"], "left")
+    return out.select(*[F.when(F.col("__on"), merged(F.col(column), word)).otherwise(F.col(column)).alias(column) if c == column else F.col(c) for c in marked.columns])
+
+
+def coloured_by_voronoi(marked: DataFrame, points: DataFrame, column: str, bits: int, slot: int, k: int = 4) -> DataFrame:
+    """``marked`` edges after the colouring of one bit: the regions around its holders, their bridges, the paths over them."""
+    holder = F.get(F.col(column), slot // 63).bitwiseAND(F.lit(1 << (slot % 63)).cast("long")) != 0
+    seeds = points.where(holder).select("label")
+    regions = cut(voronoi(marked, seeds))
+    return painted(marked, coloured(marked, regions, bridges(marked, regions, k)), column, bits, slot)
+
+
+def coloured_by_tail(marked: DataFrame, points: DataFrame, column: str, bits: int, slot: int, k_top: int, k_tail: int, metric: str = "l2", max_hops: int = 3) -> DataFrame:
+    """``marked`` edges after the colouring of one bit towards each holder's diverse tail: edges on shortest ways of up to ``max_hops`` between the two."""
+    holder = F.get(F.col(column), slot // 63).bitwiseAND(F.lit(1 << (slot % 63)).cast("long")) != 0
+    tails = diverse_tail(points, points.where(holder).select("label"), k_top, k_tail, metric).select("src", F.col("dst").alias("goal"))
+    e = marked.select("src", "dst")
+    step = tails.select("src", "goal", F.col("src").alias("at"), F.array("src").alias("way"))
+    paths = None
+    for _ in range(max_hops):
+        ahead = step.join(e.select(F.col("src").alias("at"), "dst"), "at")
+        way = ahead.where(~F.array_contains("way", F.col("dst"))).select("src", "goal", F.col("dst").alias("at"), F.concat("way", F.array("dst")).alias("way"))
+        way = cut(way.groupBy("src", "goal", "at").agg(F.min("way").alias("way")))  # one way to each point
+        done = way.where("at = goal").select("src", "goal", "way")
+        paths = done if paths is None else paths.unionByName(done.join(paths.select("src", "goal"), ["src", "goal"], "left_anti"))
+        step = way.where("at <> goal").join(done.select("src", "goal"), ["src", "goal"], "left_anti")
+    pairs = paths.select(F.explode(F.transform(F.sequence(F.lit(0), F.size("way") - 2), lambda i: F.struct(F.get("way", i).alias("src"), F.get("way", i + 1).alias("dst")))).alias("p"))
+    return painted(marked, pairs.select("p.src", "p.dst"), column, bits, slot)
+
+
+def build_counters(wide: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row: candidate edges, those kept and refused by pruning, sources, mean kept degree."""
+    n = wide.agg(F.count(F.lit(1)).alias("candidates"))
+    k = kept.agg(F.count(F.lit(1)).alias("kept"), F.count_distinct("src").alias("sources"))
+    both = n.crossJoin(k)
+    return both.select("candidates", "kept", (F.col("candidates") - F.col("kept")).alias("pruned"), "sources", F.coalesce(F.try_divide(F.col("kept").cast("double"), F.col("sources").cast("double")), F.lit(0.0)).alias("mean_degree"))

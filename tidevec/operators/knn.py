@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import distance as D
-from ..functions.predicates import ANY, SKIP, matches
+from ..functions.predicates import ANY, SKIP, kinds_of, matches
+from ..schema import NUMERIC
 
 #: Queries that are sent to every task; beyond that they meet the points in blocks.
 MAX_BROADCAST_QUERIES = 20_000
@@ -35,38 +36,45 @@ def _by_label(rare: list) -> dict[int, np.ndarray]:
     return out
 
 
-def _masks(terms: list, a0: np.ndarray, masks: np.ndarray, rare: dict[int, np.ndarray]) -> np.ndarray:
-    """Rows that match a disjunction; labels 0 to 62 come as bits of a long, others as their rows."""
-    out = np.zeros(len(a0), bool)
-    none = np.zeros(len(a0), bool)
+def _masks(terms: list, own: dict[str, tuple]) -> np.ndarray:
+    """Rows that match a disjunction.
+
+    ``own`` has each attribute's rows: (values,) of a number, (masks, rare) of
+    labels, of which 0 to 62 come as bits of a long and others as their rows.
+    """
+    n = len(next(iter(own.values()))[0]) if own else 0
+    out, none = np.zeros(n, bool), np.zeros(n, bool)
     for t in terms:
-        ok = np.ones(len(a0), bool)
-        ranges = t["a0"] if t["a0"] is not None else []
-        if len(ranges):
-            ok &= np.logical_or.reduce([(a0 >= r["lo"]) & (a0 <= r["hi"]) for r in ranges])
-        labels = t["a1"] if t["a1"] is not None else []
-        if len(labels) and t["a1_mode"] != SKIP:
-            asked = {int(x) for x in labels}
-            m = np.int64(sum(1 << x for x in asked if 0 <= x < 63))
-            others = [rare.get(x, none) for x in asked if not 0 <= x < 63]
-            if t["a1_mode"] == ANY:
-                ok &= np.logical_or.reduce([(masks & m) != 0, *others])
-            else:
-                ok &= np.logical_and.reduce([(masks & m) == m, *others])
+        ok = np.ones(n, bool)
+        for name, cols in own.items():
+            asked = t[name] if t[name] is not None else []
+            if not len(asked):
+                continue
+            if len(cols) == 1:
+                ok &= np.logical_or.reduce([(cols[0] >= r["lo"]) & (cols[0] <= r["hi"]) for r in asked])
+            elif t[f"{name}_mode"] != SKIP:
+                masks, rare = cols
+                labels = {int(x) for x in asked}
+                m = np.int64(sum(1 << x for x in labels if 0 <= x < 63))
+                others = [rare.get(x, none) for x in labels if not 0 <= x < 63]
+                if t[f"{name}_mode"] == ANY:
+                    ok &= np.logical_or.reduce([(masks & m) != 0, *others])
+                else:
+                    ok &= np.logical_and.reduce([(masks & m) == m, *others])
         out |= ok
     return out
 
 
-def _best(qids: np.ndarray, q: np.ndarray, terms: list | None, labels: np.ndarray, x: np.ndarray, a0, masks, metric: str, k: int | None, self_excluded: bool, limit: float | None, rare: dict[int, np.ndarray] | None = None) -> list[tuple]:
+def _best(qids: np.ndarray, q: np.ndarray, terms: list | None, labels: np.ndarray, x: np.ndarray, own: dict[str, tuple] | None, metric: str, k: int | None, self_excluded: bool, limit: float | None) -> list[tuple]:
     """The k best rows of a block for each query, or with a limit and no k all within it: candidates by a matrix product, then exact distances in order."""
     out = []
     for a in range(0, len(qids), CHUNK_QUERIES):
         block = D.rough(metric, q[a : a + CHUNK_QUERIES], x)
-        slack = 1e-9 * (1.0 + np.abs(block).max(initial=0.0))
+        slack = 1e-9 * (1.0 + np.abs(block).max(initial=0.0)) + D.rounding(metric, q[a : a + CHUNK_QUERIES], x)
         for i, d in enumerate(block):
             qid = qids[a + i]
             if terms is not None:
-                d = np.where(_masks(terms[a + i], a0, masks, rare or {}), d, np.inf)
+                d = np.where(_masks(terms[a + i], own), d, np.inf)
             if self_excluded:
                 d = np.where(labels == qid, np.inf, d)
             if limit is not None:
@@ -90,10 +98,10 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["qid", "label", "dist"]).astype({"qid": "int64", "label": "int64", "dist": "float64"})
 
 
-def _dealt(points: DataFrame, queries: DataFrame, least: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Both with blocks (qb, pb), so that every query meets every point in one of them."""
+def _dealt(points: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with blocks (qb, pb) of bounded numbers of rows, so that every query meets every point in one pair of them."""
     q_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
-    p_blocks = max(1, points.rdd.getNumPartitions(), least)
+    p_blocks = max(1, -(-points.count() // (4 * CHUNK_ROWS)))
     qs = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(q_blocks)).cast("int")).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1))))
     ps = points.withColumn("pb", F.pmod(F.xxhash64("label"), F.lit(p_blocks)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
     return ps, qs
@@ -116,10 +124,14 @@ def knn(points: DataFrame, queries: DataFrame, k: int | None = 10, metric: str =
         raise ValueError("k or limit is needed")
     if predicate is not None:
         points = points.where(predicate)
-    mask = F.expr("aggregate(filter(a1, x -> x >= 0 and x < 63), 0L, (m, x) -> m | shiftleft(1L, x))")
+    kinds = kinds_of(queries.schema[terms].dataType.elementType) if terms else {}
     cols = [F.col("label").cast("long").alias("label"), "vector"]
-    rare = F.filter("a1", lambda x: (x < 0) | (x >= 63))
-    cols += [F.col("a0").alias("a0"), mask.alias("mask"), rare.alias("rare")] if terms else []
+    for name, kind in kinds.items():
+        if kind == NUMERIC:
+            cols.append(F.col(name))
+        else:
+            cols.append(F.expr(f"aggregate(filter({name}, x -> x >= 0 and x < 63), 0L, (m, x) -> m | shiftleft(1L, x))").alias(f"{name}_mask"))
+            cols.append(F.filter(name, lambda x: (x < 0) | (x >= 63)).alias(f"{name}_rare"))
     points = points.select(*cols)
     queries = queries.select(F.col("qid").cast("long").alias("qid"), "vector", *([F.col(terms).alias("terms")] if terms else []))
 
@@ -127,20 +139,19 @@ def knn(points: DataFrame, queries: DataFrame, k: int | None = 10, metric: str =
         if not len(qpdf) or not len(pdf):
             return []
         q = np.stack(qpdf["vector"]).astype(np.float64)
-        own = list(qpdf["terms"]) if terms else None
+        asked = list(qpdf["terms"]) if terms else None
         rows: list[tuple] = []
         for a in range(0, len(pdf), CHUNK_ROWS):
             part = pdf.iloc[a : a + CHUNK_ROWS]
             x = np.stack(part["vector"]).astype(np.float64)
-            a0, m = (part["a0"].to_numpy(), part["mask"].to_numpy()) if terms else (None, None)
-            others = _by_label(list(part["rare"])) if terms else None
-            rows += _best(qpdf["qid"].to_numpy(), q, own, part["label"].to_numpy(), x, a0, m, metric, k, self_excluded, limit, others)
+            own = {n: (part[n].to_numpy(),) if kind == NUMERIC else (part[f"{n}_mask"].to_numpy(), _by_label(list(part[f"{n}_rare"]))) for n, kind in kinds.items()}
+            rows += _best(qpdf["qid"].to_numpy(), q, asked, part["label"].to_numpy(), x, own, metric, k, self_excluded, limit)
         return rows
 
     sample = queries.limit(MAX_BROADCAST_QUERIES + 1).toPandas()
     if len(sample) <= MAX_BROADCAST_QUERIES:
         if terms:
-            sample["terms"] = [[{"a0": [r.asDict() for r in t["a0"] or []], "a1": t["a1"], "a1_mode": t["a1_mode"]} for t in ts or []] for ts in sample["terms"]]
+            sample["terms"] = [[t.asDict(recursive=True) for t in ts] if ts is not None else [] for ts in sample["terms"]]
         sent = queries.sparkSession.sparkContext.broadcast(sample)
 
         def batches(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,8 +169,7 @@ def knn(points: DataFrame, queries: DataFrame, k: int | None = 10, metric: str =
 
         found = points.mapInPandas(batches, OUT)
     else:
-        # without k a pair of blocks sends on all it finds
-        ps, qs = _dealt(points, queries, 0 if k is not None else -(-points.count() // (4 * CHUNK_ROWS)))
+        ps, qs = _dealt(points, queries)  # without k a pair of blocks sends on all it finds
 
         def pair(key: tuple, qpdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
             return _frame(run(qpdf, pdf))
@@ -182,8 +192,9 @@ def knn_expression(points: DataFrame, queries: DataFrame, k: int, metric="l2", p
     if predicate is not None:
         points = points.where(predicate)
     q = queries.select(F.col("qid").cast("long").alias("qid"), F.col("vector").alias("qv"), *([F.col(terms).alias("terms")] if terms else []))
-    points = points.select("label", "vector", *(["a0", "a1"] if terms else []))
-    hit = matches(F.col("terms"), F.col("a0"), F.col("a1")) if terms else F.lit(True)
+    kinds = kinds_of(queries.schema[terms].dataType.elementType) if terms else {}
+    points = points.select("label", "vector", *kinds)
+    hit = matches(F.col("terms"), attrs={n: (kind, F.col(n)) for n, kind in kinds.items()}) if terms else F.lit(True)
     if few(q):
         pairs = points.join(F.broadcast(q), hit)
     else:

@@ -132,6 +132,50 @@ def patched(edges: DataFrame, points: DataFrame, max_degree: int, metric: str =
     return keep.unionByName(fill).withColumn("slot", slot).select("src", "dst", "slot", "dist")
 
 
+def deleted_in_place(edges: DataFrame, points: DataFrame, labels: DataFrame, max_degree: int, metric: str = "l2", per_dead: int = 3, most: int = 50) -> tuple[DataFrame, dict[str, int]]:
+    """(edges, counters) after the records ``labels``, tombstones by now, were taken out of the graph.
+
+    Whoever pointed to a dead record, or was pointed to by it, gets up to
+    ``per_dead`` replacements among the ``most`` nearest of that record's other
+    neighbours, as far as it has free places; edges of tombstones go.
+    """
+    from .graph import cut, slotted
+
+    e = edges.select("src", "dst", "dist")
+    dead = points.where("deleted").select("label")
+    gone = labels.select(F.col("label").alias("mid")).distinct()
+    keep = cut(scrubbed(e, points))
+    around = e.select(F.col("src").alias("x"), F.col("dst").alias("mid")).union(e.select(F.col("dst").alias("x"), F.col("src").alias("mid")))
+    around = around.join(gone, "mid", "left_semi").join(dead.withColumnRenamed("label", "x"), "x", "left_anti").distinct()
+    v = points.select("label", "vector")
+    mid = v.select(F.col("label").alias("mid"), F.col("vector").alias("vm"))
+    near = around.join(v.withColumnRenamed("label", "x"), "x").join(mid, "mid").select("mid", "x", F.col("vector").alias("vx"), D.distance(metric, F.col("vm"), F.col("vector")).alias("dm"))
+    nth = F.row_number().over(Window.partitionBy("mid").orderBy("dm", "x"))
+    cand = near.withColumn("nth", nth).where(F.col("nth") <= most).select("mid", F.col("x").alias("dst"), F.col("vx").alias("v2"))
+    pairs = near.select("mid", F.col("x").alias("src"), F.col("vx").alias("v1")).join(cand, "mid").where("src <> dst")
+    pairs = pairs.join(keep.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "mid", D.distance(metric, F.col("v1"), F.col("v2")).alias("dist"))
+    best = F.row_number().over(Window.partitionBy("src", "mid").orderBy("dist", "dst"))
+    fill = pairs.withColumn("nth", best).where(F.col("nth") <= per_dead).groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+    have = keep.groupBy("src").agg(F.count(F.lit(1)).alias("have"))
+    place = F.row_number().over(Window.partitionBy("src").orderBy("dist", "dst"))
+    fill = cut(fill.withColumn("nth", place).join(have, "src", "left").where(F.col("nth") + F.coalesce("have", F.lit(0)) <= max_degree).select("src", "dst", "dist"))
+    n_before, n_keep, n_fill = e.count(), keep.count(), fill.count()
+    counts = {"edges_before": n_before, "edges_removed": n_before - n_keep, "edges_added": n_fill, "endpoints": around.select("x").distinct().count(), "candidates": pairs.count()}
+    return slotted(keep.unionByName(fill)), counts
+
+
+def reconnected(edges: DataFrame, points: DataFrame, labels: DataFrame, max_degree: int, metric: str = "l2") -> DataFrame:
+    """Edges after the records ``labels`` came or moved: what touched them goes, they and their former neighbours are searched anew."""
+    from .graph import cut
+
+    moved = labels.select("label").distinct()
+    a, b = moved.withColumnRenamed("label", "src"), moved.withColumnRenamed("label", "dst")
+    before = edges.join(b, "dst", "left_semi").select(F.col("src").alias("label")).union(edges.join(a, "src", "left_semi").select(F.col("dst").alias("label")))
+    nodes = cut(moved.union(before).distinct())
+    rest = edges.join(a, "src", "left_anti").join(b, "dst", "left_anti").select(*edges.columns)
+    return repaired(cut(rest), points, nodes, max_degree, metric)
+
+
 def repaired(edges: DataFrame, points: DataFrame, nodes: DataFrame, max_degree: int, metric: str = "l2") -> DataFrame:
     """Edges after the live ones of ``nodes`` (label) were searched anew and connected both ways.
 

@@ -2,24 +2,33 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codebook import running
-from ..functions.predicates import matches
+from ..functions.predicates import kinds_of, matches
+from .knn import _dealt, few
 
 
 def attr_rank(points: DataFrame, column: str = "a0", id_col: str = "label") -> DataFrame:
     """(label, v, rk): the place, from 0, in order of (value, id).
 
-    Rows are counted per value first; running sums over the values, in two
-    levels, give each value's offset, and rows are numbered inside their value.
+    Rows are counted per value and stretch of ids first; running sums over the
+    values, in two levels, and over a value's stretches give each stretch's
+    offset, and rows are numbered inside it.  So no task holds a whole value.
     """
-    counts = points.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    offsets = running(counts, "v", into="off").select("v", "off")
-    rows = points.select(F.col(id_col).alias("label"), F.col(column).alias("v")).join(offsets, "v")
-    inside = Window.partitionBy("v").orderBy("label")
-    return rows.select("label", "v", (F.col("off") + F.row_number().over(inside) - 1).cast("long").alias("rk"))
+    rows = points.select(F.col(id_col).alias("label"), F.col(column).alias("v"))
+    lo, hi, n = rows.agg(F.coalesce(F.min("label"), F.lit(0)), F.coalesce(F.max("label"), F.lit(0)), F.count(F.lit(1))).first()
+    wide = max(1, (int(hi) - int(lo)) // max(1, math.isqrt(n)) + 1)
+    rows = rows.withColumn("stretch", F.floor((F.col("label") - F.lit(int(lo))) / F.lit(wide)))
+    counts = rows.groupBy("v", "stretch").agg(F.count(F.lit(1)).alias("n"))
+    values = running(counts.groupBy("v").agg(F.sum("n").alias("n")), "v", into="off").select("v", "off")
+    before = Window.partitionBy("v").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("more", F.coalesce(F.sum("n").over(before), F.lit(0))).join(values, "v").select("v", "stretch", (F.col("off") + F.col("more")).alias("off"))
+    inside = Window.partitionBy("v", "stretch").orderBy("label")
+    return rows.join(offsets, ["v", "stretch"]).select("label", "v", (F.col("off") + F.row_number().over(inside) - 1).cast("long").alias("rk"))
 
 
 def range_counts(points: DataFrame, ranges: DataFrame, column: str = "a0") -> DataFrame:
@@ -42,9 +51,16 @@ def label_frequency(points: DataFrame, column: str = "a1") -> DataFrame:
 
 
 def selectivity(points: DataFrame, queries: DataFrame, terms: str = "terms") -> DataFrame:
-    """(qid, n_match, selectivity) of each query's own disjunction (queries: few, as they are sent to the points)."""
+    """(qid, n_match, selectivity) of each query's own disjunction; few queries are sent to the points, more meet them in blocks."""
     n = points.agg(F.count(F.lit(1)).alias("total"))
-    pairs = points.select("a0", "a1").join(F.broadcast(queries.select("qid", F.col(terms).alias("terms"))), matches(F.col("terms"), F.col("a0"), F.col("a1")))
+    asked = queries.select("qid", F.col(terms).alias("terms"))
+    kinds = kinds_of(queries.schema[terms].dataType.elementType)
+    hit = matches(F.col("terms"), attrs={n: (kind, F.col(n)) for n, kind in kinds.items()})
+    if few(queries):
+        pairs = points.select(*kinds).join(F.broadcast(asked), hit)
+    else:
+        ps, qs = _dealt(points.select("label", *kinds), asked)
+        pairs = ps.join(qs, ["qb", "pb"]).where(hit)
     hits = pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("n_match"))
     out = queries.select("qid").join(hits, "qid", "left").na.fill(0, ["n_match"]).join(F.broadcast(n))
     return out.select("qid", "n_match", (F.col("n_match") / F.col("total")).alias("selectivity"))

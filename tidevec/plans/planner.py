@@ -39,7 +39,7 @@ def choose(estimate: float, total: float, config: SearchConfig) -> str:
 def hybrid(index: ann.ClusterIndex, queries: DataFrame, predicate: Sequence, k: int = 10, config: SearchConfig = SearchConfig(), modes: Sequence | None = None) -> DataFrame:
     """Filtered search by the cheaper path; ``predicate`` is a conjunction or a list of terms."""
     terms = list(predicate) if is_disjunction([predicate]) or not predicate else [list(predicate)]
-    estimate, total = ann.estimated_rows(index, terms).agg(F.sum("estimate")).first()[0] or 0, index.clusters.agg(F.sum("live")).first()[0] or 0
+    estimate, total = ann.estimated_rows(index, terms, modes).agg(F.sum("estimate")).first()[0] or 0, index.clusters.agg(F.sum("live")).first()[0] or 0
     if choose(float(estimate), float(total), config) == "exact":
         live = index.points.where(~F.col("deleted"))
         return knn(live, queries, k, index.cfg.space, disjunction(terms, modes, index.cfg.attr_types))

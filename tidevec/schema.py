@@ -58,12 +58,14 @@ class IndexConfig:
 
 @dataclass(frozen=True)
 class SearchConfig:
-    """Knobs of approximate search: clusters probed, pruning by Marker and the routing floor."""
+    """Knobs of approximate search: clusters probed, pruning by Marker, the routing floor of clusters and of edges, seeds."""
 
     nprobe: int = 8
     use_markers: bool = True
     routing: bool = True
     min_clusters: int = 2
+    min_degree: int = 10
+    ef_top: int = 4
     exact_below: float = 0.05
     policy: str = "admit"
 

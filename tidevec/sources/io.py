@@ -119,12 +119,12 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def save(path: str, cfg: IndexConfig, mode: str = "errorifexists", **tables: DataFrame) -> None:
+def save(path: str, cfg: IndexConfig, mode: str = "errorifexists", state: dict | None = None, **tables: DataFrame) -> None:
     """Tables as Parquet under ``path`` and, last, the manifest that makes them a snapshot."""
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode(mode).parquet(f"{path}/{name}")
-    meta = cfg.manifest() | {"tables": sorted(tables)}
+    meta = cfg.manifest() | {"tables": sorted(tables), "state": state}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode(mode).text(f"{path}/manifest")
 
 
