@@ -327,7 +327,7 @@ def diverse_tail(points: DataFrame, seeds: DataFrame, k_top: int, k_tail: int, m
     return kept.withColumn("nth", nth).where(F.col("nth") <= k_tail).select("src", "dst", "dist")
 
 
-def near_graph(points: DataFrame, m: int, metric: str = "l2", nprobe: int = 8, per_cluster: int = 64) -> DataFrame:
+def near_graph(points: DataFrame, m: int, metric: str = "l2", nprobe: int = 8, per_cluster: int = 256) -> DataFrame:
     """Each point's ``m`` nearest others among the points of its ``nprobe`` nearest clusters: edges without all pairs.
 
     A point meets about ``nprobe`` clusters' rows, so the work grows with

@@ -86,8 +86,13 @@ def read_nested_json(spark: SparkSession, path: str, lines: bool = False, count:
     kind = "array<array<int>>" if lines else "array<array<array<int>>>"
     text = spark.read.text(path, wholetext=not lines)
     if lines:
-        rows = text.select(F.from_json("value", kind).alias("attrs"), F.monotonically_increasing_id().alias("at"))
-        rows = rows.select((F.row_number().over(Window.orderBy("at")) - 1).cast("long").alias("label"), "attrs")
+        # Rows are numbered inside their partition and counted by partition, so no task holds them all.
+        at = F.monotonically_increasing_id()
+        rows = text.select(F.from_json("value", kind).alias("attrs"), F.shiftright(at, 33).alias("part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("nth"))
+        before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+        offsets = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+        rows = rows.join(F.broadcast(offsets), "part").select((F.col("off") + F.col("nth")).cast("long").alias("label"), "attrs")
     else:
         rows = text.select(F.posexplode(F.from_json("value", kind)).alias("label", "attrs")).select(F.col("label").cast("long").alias("label"), "attrs")
     return rows if count is None else rows.where(F.col("label") < count)
