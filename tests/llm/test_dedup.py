@@ -92,6 +92,7 @@ def test_jaccard_tiles(docs, monkeypatch):
     """Clusters that need many tiles."""
     monkeypatch.setattr(jaccard_join, "TILE", 3)
     monkeypatch.setattr(jaccard_join, "BLOCK", 2)
+    monkeypatch.setattr(jaccard_join, "LARGE", 2)  # groups of more are merged where it saves pairs
     out = jaccard_components(docs, 3, 0.7)
     want = brute.components(ROWS, 3, 70)
     assert by_text(docs, out, ("doc_id", "component_id")) == sorted(((r[0], w[1]) for r, w in zip(ROWS, want)), key=repr)

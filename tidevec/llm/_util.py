@@ -3,34 +3,43 @@
 from __future__ import annotations
 
 import math
-import tempfile
+import threading
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shared import shared_dir
+
 #: Words of the mixing and joining contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, for cut lineages.
+#: Spark's setting that removes an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    ``spark.checkpoint.dir`` names it; a folder of our own serves only where
-    that is unset, as in tests.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named.rstrip("/")
+_lock = threading.Lock()
+_using: dict[int, list] = {}  # by session: how many writes go on, and the setting before them
 
 
-#: Spark's setting that removes an execution's shuffle files at its end.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+@contextmanager
+def _cleaned_up(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go at the end of executions; several writes of one session can overlap."""
+    with _lock:
+        state = _using.setdefault(id(spark), [0, None])
+        if not state[0]:
+            state[1] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        state[0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            state[0] -= 1
+            if not state[0]:
+                spark.conf.set(CLEANUP, state[1])
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,12 +50,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaned_up(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,6 +69,18 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores before it until no column of ``df`` is called so (columns' case doesn't count)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ranked(df: DataFrame, part: Sequence[str], order: Sequence[str], n_rows: int, into: str) -> DataFrame:
     """Add ``into``: the row's place (long, from 0) among the rows of its ``part``.
 
