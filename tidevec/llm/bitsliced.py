@@ -8,15 +8,18 @@ carry-save adders, giving the score itself as bit slices.  The top rows are
 read from the most significant slice downward; rows that tie at the cut agree
 in every slice, so the smaller ids win there exactly.
 
-Queries are a stated set, dealt to blocks as well; every query block meets
-every row block once, and only ``k`` rows per query leave a block.
+The index is a table with one row for each block, made once.  Queries are a
+stated set, dealt to blocks as well; every query block meets every row block
+once, and only ``k`` rows per query leave a block.
 
 Defined results: vectors that are null or hold null or non-finite components
-take no part, nor do empty ones and rows without an id; a quantised component
+take no part, nor do rows without an id; a quantised component
 of ``LIMIT`` or more, or a result's score that 64 bits don't hold, is an error; a
-vector counts as ended by zeros when lengths differ; a query never meets rows of its own id; repeated
+vector counts as ended by zeros when lengths differ, so an empty one scores 0; very long
+vectors make wide blocks, nothing is cut; a query never meets rows of its own id; repeated
 rows count as often as they occur; ties go to the smaller id; fewer than ``k``
-candidates give fewer rows; an empty table gives an empty result.
+candidates give fewer rows; an empty table gives an empty result; further
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -122,11 +125,11 @@ def quantised(vector: Column, scale: float) -> Column:
     x = F.transform(vector, lambda v: F.floor(F.lit(float(scale)) * v.cast("double")))
     fine = F.coalesce(F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf"))), F.lit(False))
     held = F.forall(vector, lambda v: F.abs(v.cast("double") * scale) < float(LIMIT))
-    return F.when(fine & (F.size(vector) > 0), F.when(held, x).otherwise(F.raise_error(F.lit("a component is too large for 64 bits"))))
+    return F.when(fine, F.when(held, x).otherwise(F.raise_error(F.lit("a component is too large for 64 bits"))))
 
 
 def _matrix(vectors: list) -> np.ndarray:
-    wide = max(len(v) for v in vectors)
+    wide = max(1, max(len(v) for v in vectors))
     if all(len(v) == wide for v in vectors):
         return np.stack(vectors).astype(np.int64)
     out = np.zeros((len(vectors), wide), np.int64)
@@ -146,19 +149,25 @@ def top_k(
     n_cand, n_q = cand.count(), qs.count()
     row_blocks, query_blocks = max(1, -(-n_cand // block_rows)), max(1, -(-n_q // block_queries))
     deal = lambda df, n: df.withColumn("blk", F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int"))
+
+    def index(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        slices, low = slices_of(np.ascontiguousarray(_matrix(list(pdf["v"])).T))
+        return pd.DataFrame({"row_blk": [key[0]], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "low": [low.astype(np.int64).tobytes()], "wide": [slices.shape[0]], "digits": [slices.shape[1]], "slices": [slices.tobytes()]})
+
+    made = deal(cand, row_blocks).groupBy(F.col("blk").alias("row_blk")).applyInPandas(index, "row_blk int, ids binary, low binary, wide int, digits int, slices binary")
+    made = written(made, "bsi-index")
     # Every query block is sent to every row block: a stated query set against all rows, in blocks.
     sent = deal(qs, query_blocks).withColumn("row_blk", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-    near = deal(cand, row_blocks).select(F.col("blk").alias("row_blk"), "id", "v")
+    met = made.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
 
-    def search(key: tuple, qpdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+    def search(key: tuple, qpdf: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
-        if len(pdf) and len(qpdf):
-            pdf = pdf.sort_values("id", kind="stable")
-            ids = pdf["id"].to_numpy()
-            x = _matrix(list(pdf["v"]))
-            slices, low = slices_of(np.ascontiguousarray(x.T))
+        if len(block) and len(qpdf):
+            b = block.iloc[0]
+            ids, low, wide = np.frombuffer(b["ids"], np.int64), np.frombuffer(b["low"], np.int64), int(b["wide"])
+            slices = np.frombuffer(b["slices"], np.uint64).reshape(wide, int(b["digits"]), -1)
             everyone = np.packbits(np.pad(np.ones(len(ids), np.uint8), (0, -len(ids) % 64)), bitorder="little").view(np.uint64)
-            wide = x.shape[1]
             for qid, qv in zip(qpdf["id"], qpdf["v"]):
                 w = np.zeros(wide, np.int64)
                 w[: min(wide, len(qv))] = qv[:wide]
@@ -172,9 +181,6 @@ def top_k(
                 out += [(int(qid), int(ids[r]), value_at(score, int(r)) + plus) for r in top_rows(score, alive, k)]
         return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype("int64")
 
-    pairs = sent.groupBy("row_blk", "blk")
-    # A row block goes to as many groups as there are query blocks.
-    near = near.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    found = pairs.cogroup(near.groupBy("row_blk", "blk")).applyInPandas(search, "query_id long, id long, score long")
+    found = sent.groupBy("row_blk", "blk").cogroup(met.groupBy("row_blk", "blk")).applyInPandas(search, "query_id long, id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "id", "score")

@@ -174,11 +174,11 @@ ORACLE_SQL: dict[str, str] = {
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
           FROM embeddings
-          WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+          WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
           SELECT a.vec_id AS query_id, b.vec_id,
-                 CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))) AS BIGINT) AS score
+                 CAST(coalesce(list_sum(list_transform(list_zip(a.q, b.q), lambda z: coalesce(z[1], 0) * coalesce(z[2], 0))), 0) AS BIGINT) AS score
           FROM v a JOIN v b ON a.vec_id <> b.vec_id
           WHERE a.vec_id % 100 = 0
         ), r AS (
