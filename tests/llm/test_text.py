@@ -222,3 +222,56 @@ def test_sample_is_filled_where_copies_dominate(spark, monkeypatch):
     quality.fit(docs, train_rows=20)
     quality.fit(docs, train_rows=100)  # fewer distinct texts than that: all of them
     assert seen == [20, 30]
+
+
+def em_brute(votes_of, rounds=200):
+    """EM document by document: each one's chance of being clean."""
+    k = len(LABELLERS)
+    chance = {(0, 0): [0.4] * k, (0, 1): [0.6] * k, (1, 0): [0.02] * k, (1, 1): [0.98] * k}
+    prior, p = 0.8, [0.8] * len(votes_of)
+    imagined = {(0, 0): 2.0, (0, 1): 3.0, (1, 0): 0.02, (1, 1): 5.0}
+    for _ in range(rounds):
+        new = []
+        for v in votes_of:
+            clean, junk = prior, 1 - prior
+            for j, x in enumerate(v):
+                if x >= 0:
+                    clean *= chance[1, x][j]
+                    junk *= chance[0, x][j]
+            new.append(clean / (clean + junk))
+        done = max(abs(a - b) for a, b in zip(new, p)) < 1e-9
+        p = new
+        if done:
+            break
+        prior = min(max(sum(p) / len(p), 1e-3), 1 - 1e-3)
+        for j in range(k):
+            for c in (0, 1):
+                told = [imagined[c, x] + sum((q if c else 1 - q) for q, v in zip(p, votes_of) if v[j] == x) for x in (0, 1)]
+                for x in (0, 1):
+                    chance[c, x][j] = told[x] / sum(told)
+    return p
+
+
+def test_classifier_against_brute_force(spark):
+    """Votes, EM and scorer over all documents, one by one in this process, give the same scores."""
+    import hashlib
+
+    from tidevec.llm import quality
+
+    rows = junk_rows()
+    df = brute.frame(spark, rows)
+    one = {}
+    for r in rows:
+        t = r[1] or ""
+        buf, off = np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])
+        n, m, doc, h = quality.measures(buf, off)
+        x = quality.features(buf, off, doc, h)[0] if len(buf) else np.zeros(quality.N_FEATURES, np.float32)
+        one[t] = (int(n[0]), quality.votes(n, m)[0].tolist(), x)
+    worded = [r[1] for r in rows if r[1] and one[r[1]][0]]
+    p = dict(zip(worded, em_brute([one[t][1] for t in worded])))
+    sample = sorted(set(worded), key=lambda t: hashlib.md5(t.encode()).digest())[:2000]
+    weights, bias = quality.fit_scorer(np.stack([one[t][2] for t in sample]), np.array([p[t] for t in sample]))
+    for r in classify(df.select("doc_id", "text")).join(df.select("doc_id", "text").distinct(), "doc_id").collect():
+        t = r["text"] or ""
+        score = 1 / (1 + np.exp(-np.clip(one[t][2].astype(float) @ weights + bias, -30, 30))) if one[t][0] else 0.0
+        assert r["n_words"] == one[t][0] and abs(r["p_weak"] - p.get(t, 0.0)) < 1e-4 and abs(r["score"] - score) < 1e-3

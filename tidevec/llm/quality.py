@@ -13,8 +13,9 @@ those with the least text hashes); votes, counts, label model and scores cover
 all documents.
 
 Defined results: a null or wordless text has score 0 and is rejected; equal
-texts have equal scores; repeated rows are scored alike; an empty table gives
-an empty result; further columns are ignored.
+texts have equal scores; repeated rows are scored alike; very long texts are
+measured whole; a score of exactly the threshold is kept; an empty table gives
+an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -284,7 +285,8 @@ def fit(docs: DataFrame, text_col: str = "text", train_rows: int = 2000):
     posterior, _, _ = label_model(patterns, n)
     # -- a bounded sample: the least text hashes, found from a bound on the hash and cut to size
     total = int(n.sum()) if len(n) else 0
-    keyed = docs.where(F.length(text_col) > 0).select(text_key(F.col(text_col)).alias("key"), text)
+    worded = F.col(text_col).cast("string").rlike(r"[^\x20\x09-\x0D]")  # texts without words have no votes to learn from
+    keyed = docs.where(worded).select(text_key(F.col(text_col)).alias("key"), text)
     least = lambda rows: rows.mapInArrow(_featured, "key binary, pattern long, at binary, value binary").dropDuplicates(["key"]).orderBy("key").limit(train_rows).toArrow()
     if total > 2 * train_rows:
         bound = 2.0 * train_rows / total * 2.0**32
