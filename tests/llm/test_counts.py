@@ -129,9 +129,9 @@ def test_top_k(spark):
     rng = np.random.default_rng(4)
     x = (rng.normal(size=(300, 8)) / 3).round(1)  # many ties
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    rows += [(300, None), (301, []), (302, [float("nan")] * 8), (303, [None] + [0.1] * 7), (304, [float("inf")] + [0.1] * 7), (305, [0.5, -0.5]), (None, [1.0] * 8), (7, x[7].tolist())]
+    rows += [(300, None), (301, []), (302, [float("nan")] * 8), (303, [None] + [0.1] * 7), (304, [float("inf")] + [0.1] * 7), (305, [0.5, -0.5]), (308, []), (None, [1.0] * 8), (7, x[7].tolist())]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit(1)).withColumn("v", F.lit("x")).repartition(3)
-    fine = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(np.int64).tolist()) for i, v in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v)]
+    fine = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(np.int64).tolist()) for i, v in rows if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
     got = [tuple(r) for r in top_k(df.where("vec_id % 7 = 0"), df, block_rows=64, block_queries=5).orderBy("query_id", "rank").select("query_id", "rank", "id", "score").collect()]
     want = []
     for qid in sorted({i for i, _ in fine if i % 7 == 0}):
@@ -244,3 +244,23 @@ def test_token_counts(docs):
 
 def test_token_counts_of_nothing(spark):
     assert length_histogram(encoded_lengths(spark.createDataFrame([], brute.SCHEMA))).count() == 0
+
+
+def test_rates_solve_the_dual(spark):
+    """Rates have the tilt's form with one multiplier a source, and meet the source's target exactly."""
+    import math
+
+    out = mix(brute.frame(spark, ROWS)).toPandas()
+    base = math.log(1.5 / 0.5)
+    for _, g in out.groupby(out["source"].fillna("\0")):
+        target, size = g["target"].iloc[0], g["source_size"].iloc[0]
+        assert abs((g["rate"] * g["size"]).sum() - target) <= 1e-6 * target
+        some = g[(g["size"] > 0) & (g["rate"] > 1e-6) & (g["rate"] < 2 - 1e-6)]
+        if target < 2 * size and len(some) > 1:
+            z = some["size"] * len(g) / size
+            lam = (np.log(some["rate"] / (2 - some["rate"])) - base) / z
+            assert lam.max() - lam.min() < 1e-6 * max(1.0, abs(lam).max())
+    again = mix(brute.frame(spark, ROWS)).toPandas()
+    cols = ["doc_id", "source", "size", "rate", "copies"]
+    key = lambda x: sorted(map(repr, x[cols].itertuples(index=False)))
+    assert key(out) == key(again)

@@ -15,7 +15,10 @@ words are looked up by runs of their own length.
 Defined results: texts are matched by their words alone; a null or wordless
 text is clean and has no words; wordless items are ignored; an item without an
 id counts as one item with an empty id; repeated items or rows change nothing
-but their own row; further columns are ignored.
+but their own row; very long texts are matched whole; of several equal smallest
+hashes in a window all are kept, so ties lose nothing; an empty table of documents
+gives an empty result, one of items leaves all clean; further columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import text_key, written
+from ._util import text_key, unused, written
 
 #: Words after lower-casing A-Z: runs without ASCII signs and spaces.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -158,5 +161,6 @@ def marked(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 def without_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that share no window with an item, with all their columns."""
     spans, _ = decontaminate(docs, items, text_col=text_col, **options)
-    bad = spans.select(F.col("key").alias("__key")).hint("merge")  # hit texts grow with the corpus
-    return docs.withColumn("__key", text_key(F.col(text_col))).join(bad, "__key", "left_anti").select(*docs.columns)
+    (key,) = unused(docs, "text_key")
+    bad = spans.select(F.col("key").alias(key)).hint("merge")  # hit texts grow with the corpus
+    return docs.withColumn(key, text_key(F.col(text_col))).join(bad, key, "left_anti").select(*docs.columns)

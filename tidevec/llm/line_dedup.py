@@ -5,10 +5,11 @@ windows in the corpus the first place stays, all later ones are marked, and a
 document loses the lines that its marked windows cover together.
 
 Defined results: lines are what stands between newlines; a null or empty text
-has no lines; texts of fewer than ``width`` lines lose nothing; a document's
-place is its id (null last), then a hash of its text; repeated rows of one id
+has no lines; texts of fewer than ``width`` lines lose nothing; very long texts
+are split whole; a document's place is its id (null last), then a 64-bit hash of
+its text, so ties go to the smaller hash; repeated rows of one id
 and text are one document and get the same result; an empty table gives an
-empty result; further columns are ignored.
+empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def dedup_lines(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_co
     """One row per row of ``docs``: id, n_lines, spans (merged, in lines), kept (the remaining text)."""
     texts = docs.select(
         F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"),
-        F.hash(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text"),
+        F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).cast("string").alias("text"),
     )
     rows = texts.join(repeated_windows(texts, width).hint("merge"), ["none", "id", "h"], "left")  # the same join at every size
     rows = rows.select(F.when(~F.col("none"), F.col("id")).alias("id"), "text", "starts")

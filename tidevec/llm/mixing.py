@@ -14,8 +14,10 @@ their running sum by more than one document.
 
 Defined results: a null text has size 0; a null source is a source of its own
 and comes last; repeated rows count as often as they occur; documents of size
-0 get the copies their rate says but take no words; an empty table gives an
-empty result; further columns are ignored.
+0 get the copies their rate says but take no words; very long texts are counted
+whole; which of several documents of one size gets a further copy follows a hash
+of its id (ties: of its text, in ``mixed_rows``); a dual that isn't solved is an error; an
+empty table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._util import WORD, ranked, shared_dir, text_key, written
+from ._util import WORD, ranked, shared_dir, text_key, unused, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 
@@ -96,6 +98,10 @@ def tilt(hist: DataFrame, targets: DataFrame, base_rate: float, max_rate: float,
         state = step.select(*key, lam.alias("lam"), "lo", "hi", "off").checkpoint()
         if (state.agg(F.max("off")).first()[0] or 0.0) <= tol:
             break
+    else:
+        raise RuntimeError(f"the dual of the mix isn't solved after {max_iter} steps")
+    # Rounded, so that reruns agree whatever the order of sums.
+    state = state.withColumn("lam", F.round("lam", 9))
     fixed = F.when(F.col("target") <= 0, F.lit(0.0)).when(F.col("lam").isNull(), F.lit(float(max_rate)))
     return targets.join(state.select(*key, "lam"), key, "left").select(*key, "lam", fixed.alias("fixed"))
 
@@ -136,7 +142,7 @@ def mix(
     cells = cells.withColumn("cum", F.coalesce(F.sum(F.col("part") * F.col("n")).over(before), F.lit(0.0)) + 0.5)
     cells = written(cells.select(*key, "size", "source_size", "target", "rate", "whole", "part", "cum"), "mix-rates")
     n_rows = hist.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    placed = ranked(rows.withColumn("ord", F.coalesce("id", F.lit(-1))), [*key, "size"], ["ord"], n_rows, "place")
+    placed = ranked(rows.withColumn("ord", F.coalesce("id", F.lit(-1))), [*key, "size"], ["ord", *(["key"] if keyed else [])], n_rows, "place")
     extra = F.floor(F.col("cum") + (F.col("place") + 1) * F.col("part")) - F.floor(F.col("cum") + F.col("place") * F.col("part"))
     copies = (F.col("whole") + extra).cast("long")
     return placed.join(cells, [*key, "size"]).select(
@@ -152,8 +158,9 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat an id, text and source count as one row with all their copies.
     """
     plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, keyed=True, **options)
-    one = [F.coalesce(F.col(id_col).cast("string"), F.lit("none")).alias("__id"), F.coalesce(F.col(source_col), F.lit("")).alias("__src"), F.col(source_col).isNull().alias("__null")]
-    plan = plan.select(*one, F.col("key").alias("__key"), "copies").groupBy("__id", "__src", "__null", "__key").agg(F.sum("copies").alias("__copies")).where("__copies > 0")
-    rows = docs.select(*docs.columns, *one, F.coalesce(text_key(F.col(text_col)), F.lit(b"")).alias("__key"))
-    rows = rows.join(plan, ["__id", "__src", "__null", "__key"]).dropDuplicates(["__id", "__src", "__null", "__key"])
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    i, src, null, key, copies, copy = names = unused(docs, "id_of", "source_of", "source_is_null", "text_key", "copies_of", "copy_of")
+    one = [F.coalesce(F.col(id_col).cast("string"), F.lit("none")).alias(i), F.coalesce(F.col(source_col), F.lit("")).alias(src), F.col(source_col).isNull().alias(null)]
+    plan = plan.select(*one, F.col("key").alias(key), "copies").groupBy(*names[:4]).agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
+    rows = docs.select(*docs.columns, *one, F.coalesce(text_key(F.col(text_col)), F.lit(b"")).alias(key))
+    rows = rows.join(plan, names[:4]).dropDuplicates(names[:4])
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)

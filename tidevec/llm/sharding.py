@@ -11,8 +11,10 @@ distributed ranking of their keys.
 
 Defined results: a null text is a group of its own, apart from the empty text,
 with no bytes and the CRC of no bytes (0); repeated rows are kept, each with a
-slot of its own; an empty table gives an empty result; further columns are
-ignored.
+slot of its own; a very long text is a group like others, so one shard can be
+larger for it; groups of one size go by a hash of their text, shards of one load
+by number; an empty table gives an empty result; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -7,8 +7,10 @@ once, how many documents reach it, how many tokens they hold, how many tokens
 remain when each document is cut at the limit, and exact quantiles.
 
 Defined results: a null or empty text has length 0; special tokens' strings
-are ordinary text; repeated rows count as often as they occur; an empty table
-gives an empty histogram; further columns are ignored.
+are ordinary text; very long texts are encoded whole; documents of one length
+share a row, so ties need no order; repeated rows count as often as they occur;
+an empty table gives an empty histogram; further columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
