@@ -125,6 +125,47 @@ def test_bound_lets_links_through():
                 assert jaccard_join.may_link(np.array([len(a)]), np.array([len(b)]), np.array([apart]), t)[0]
 
 
+def near_copy(rng, s, t):
+    """A set that links with ``s`` at ``t`` by as little as can be: elements go, come or are exchanged."""
+    n = len(s)
+    kind = rng.integers(3)
+    if kind == 0:
+        out, add = n - int(np.ceil(t * n - 1e-9)), 0
+    elif kind == 1:
+        out, add = 0, int(n / t + 1e-9) - n
+    else:
+        out = add = int((1 - t) / (1 + t) * n + 1e-9)
+    return np.sort(np.concatenate([rng.permutation(s)[out:], rng.integers(0, 2**63, add).astype(np.uint64)]))
+
+
+def test_unrelated_sets_share_no_part():
+    """Empty parts made all sets of one size share keys, and pairs grow with the square of the table."""
+    rng = np.random.default_rng(8)
+    keys = [set(jaccard_join.part_keys(np.unique(rng.integers(0, 2**63, int(n)).astype(np.uint64)), 0.8).tolist()) for n in rng.integers(100, 4000, 150)]
+    pairs = sum(bool(x & y) for i, x in enumerate(keys) for y in keys[:i])
+    assert pairs <= 0.02 * len(keys) * (len(keys) - 1) / 2
+    for t in (0.5, 0.8, 0.9):
+        for n in rng.integers(1, 3000, 150):
+            x = np.unique(rng.integers(0, 2**63, int(n)).astype(np.uint64))
+            y = near_copy(rng, x, t)
+            assert np.array_equal(x, y) or set(jaccard_join.part_keys(x, t).tolist()) & set(jaccard_join.part_keys(y, t).tolist())
+
+
+def test_large_unrelated_sets_make_no_pairs():
+    """Signatures of one width were full for large sets, so that all that met made one cluster."""
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 2**63, int(n)).astype(np.uint64)) for n in rng.integers(3500, 12000, 80)]
+    copies = [near_copy(rng, s, 0.8) for s in sets]
+    every = sets + copies
+    for groups in (1, 10):  # a large one, and small ones
+        at = sorted(range(len(every)), key=lambda i: i % groups)
+        sigs = [jaccard_join.signature(every[i], jaccard_join.width_for(len(every[i]), 0.8)).tobytes() for i in at]
+        cols = [pa.array([i % groups for i in at]), pa.array([0] * len(at)), pa.array(at), pa.array([len(every[i]) for i in at]), pa.array(sigs, pa.binary())]
+        rows = pa.RecordBatch.from_arrays(cols, ["tile", "side", "node", "n", "sig"])
+        got = [tuple(r.values()) for b in jaccard_join._bounded(iter([rows.slice(0, 50), rows.slice(50)]), 0.8) for r in b.to_pylist()]
+        assert sorted(got) == [(i, i + 80) for i in range(80)]
+
+
 def test_keep_one(docs):
     kept = keep_one(docs, 3, 0.9)
     assert kept.columns == docs.columns

@@ -6,9 +6,12 @@ class.  Two classes of sizes a and b that link differ in at most
 band are dealt by hash to more parts than that, some part is the same in both:
 classes that share a part's content become candidates.  That needs no caps, and
 words or passages that many documents hold make no candidates by themselves.
+Empty parts count only for the rare sets with too few others; there are enough
+parts for that, or else every two sets of a size would share an empty one.
 
-Hashed bitmap signatures bound each overlap from above (shingles in which the
-bitmaps differ can't be shared).  Among the classes that share a part only
+Hashed signatures bound each overlap from above: of the shingles that hash to a
+bit they hold the parity, so sets differ in one shingle at least for each bit in
+which their signatures differ, and large sets, whose signatures are wider, don't fill them.  Among the classes that share a part only
 signatures are compared, in blocks where there are many.  Near copies share
 most of their parts, so large groups of about one size that hang together are
 merged into one wherever that makes fewer pairs than the groups have by
@@ -50,9 +53,10 @@ TILE = 512
 BLOCK = 1024
 #: Sizes of a band grow by this factor.
 BAND = 1.5
-#: Parts beyond the number that a link can differ in, so that empty parts need no key.
-SPARE = 2
-#: Bits of a signature that is sent, and of the widest one that a tile makes.
+#: Parts beyond the number that a link can differ in, so that empty parts need no key: so many, and so many times the parts expected to be empty.
+#: All unrelated sets of a band share the keys of empty parts, which makes pairs by the square of the table.
+SPARE, EMPTY = 2, 5
+#: Bits of a signature that is sent, wider for large sets, and of the widest one that is sent or that a tile makes.
 SIGNATURE, MAX_SIGNATURE = 2048, 1 << 15
 #: Candidates whose sets are intersected first, and elements that are intersected at once.
 FIRST, ELEMENTS = 4, 1 << 18
@@ -115,6 +119,11 @@ def band_of(n: int) -> tuple[int, int]:
     return band, top
 
 
+def n_parts(differ: int, t: float) -> int:
+    """Parts for sets that differ in at most ``differ`` elements: more by ``SPARE``, and by some times the parts that the largest sets leave empty."""
+    return differ + 1 + SPARE + int(EMPTY * differ * np.exp(-(1 + t) / (1 - t) / 2))
+
+
 def part_keys(s: np.ndarray, t: float) -> np.ndarray:
     """Keys of the parts of a set; sets with a Jaccard similarity of ``t`` or more share one, unless they are equal."""
     n = len(s)
@@ -128,7 +137,7 @@ def part_keys(s: np.ndarray, t: float) -> np.ndarray:
         differ = int((1 - t) / (1 + t) * 2 * (above - 1) + 1e-9)
         if differ == 0:
             continue  # only equal sets link
-        m = differ + 1 + SPARE
+        m = n_parts(differ, t)
         part = (s % U(m)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         counts = np.bincount(part, minlength=m)
@@ -136,7 +145,9 @@ def part_keys(s: np.ndarray, t: float) -> np.ndarray:
         sums = np.add.reduceat(spread[order], (np.cumsum(counts) - counts)[full])
         label = U((home * 1_000_003 + 7) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
         out.append(mixed(mixed(sums + counts[full].astype(np.uint64)) + full.astype(np.uint64) * U(0xD1B54A32D192ED03) + label))
-        if len(full) < m - SPARE:
+        # With any set of this home that it links with, it differs in at most ``own``: of more full parts one is the same in both.
+        own = int((1 - t) / (1 + t) * (n + min(above - 1, int(n / t + 1e-9))) + 1e-9)
+        if len(full) <= own:
             none = np.setdiff1d(np.arange(m), full).astype(np.uint64)
             out.append(mixed(mixed(none + U(0x1234567)) + none * U(0xD1B54A32D192ED03) + label))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
@@ -146,11 +157,48 @@ def set_id(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """The hashed bitmap of a set, as words."""
-    bits = np.zeros(SIGNATURE, bool)
-    bits[(s >> U(20)) % U(SIGNATURE)] = True
-    return np.packbits(bits).view(np.uint64)
+def width_for(n: int, t: float) -> int:
+    """Bits of the signature of a set: unrelated sets differ in half of them, and that must be more than sets that link differ in."""
+    need = min(int(2.4 * (1 - t) / t * n), MAX_SIGNATURE)
+    return max(SIGNATURE, 1 << max(need - 1, 0).bit_length())
+
+
+def signature(s: np.ndarray, width: int = SIGNATURE) -> np.ndarray:
+    """The parities of a set's hashed elements, as words: two sets differ in as many elements at least as their signatures do in bits."""
+    odd = np.bincount(((s >> U(20)) % U(width)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
+
+
+def folded(sigs: np.ndarray, words: int) -> np.ndarray:
+    """Signatures (one a row) at a smaller width."""
+    return np.bitwise_xor.reduce(sigs.reshape(len(sigs), -1, words), axis=1)
+
+
+class Wider:
+    """The signatures of a batch that are wider than ``SIGNATURE``, to look again at pairs that may link."""
+
+    def __init__(self, sigs: np.ndarray, size: np.ndarray, t: float):
+        self.size, self.t = size, t
+        self.words = np.array([0 if x is None else len(x) for x in sigs], np.int64)
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(self.words[self.words > 0]).tolist():
+            place, rows = np.zeros(len(sigs), np.int64), np.flatnonzero(self.words >= w)
+            place[rows] = np.arange(len(rows))
+            self.at[w] = place, np.concatenate([folded(sigs[r][None], w) for r in rows])
+
+    def may_link(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs (i, j) may still link, by the widest signatures that both have."""
+        fine = np.ones(len(j), bool)
+        if not self.at:
+            return fine
+        common = np.minimum(self.words[i], self.words[j])
+        for w, (place, table) in self.at.items():
+            here = np.flatnonzero(common == w)
+            step = max(1, PAIRS * (SIGNATURE // 64) // w)
+            for k in (here[a : a + step] for a in range(0, len(here), step)):
+                apart = np.bitwise_count(table[place[i[k]]] ^ table[place[j[k]]]).sum(axis=1, dtype=np.int64)
+                fine[k] = may_link(self.size[i[k]], self.size[j[k]], apart, self.t)
+        return fine
 
 
 def may_link(size_a: np.ndarray, size_b: np.ndarray, apart: np.ndarray, t: float) -> np.ndarray:
@@ -160,8 +208,8 @@ def may_link(size_a: np.ndarray, size_b: np.ndarray, apart: np.ndarray, t: float
     return (most * (1 + t) >= t * both - 1e-6) | (np.minimum(size_a, size_b) < 0)
 
 
-def _forest(node: np.ndarray, size: np.ndarray, sig: np.ndarray, side: np.ndarray, t: float) -> list[tuple[int, int]]:
-    """Places of pairs that connect what the bound lets through among the classes of one group."""
+def _forest(node: np.ndarray, size: np.ndarray, sig: np.ndarray, side: np.ndarray, wider: Wider, first: int, t: float) -> list[tuple[int, int]]:
+    """Places of pairs that connect what the bound lets through among the classes of one group, whose first row is ``first`` in ``wider``."""
     root = np.unique(node, return_inverse=True)[1]
     out = []
     for i in range(1, len(root)):
@@ -169,14 +217,15 @@ def _forest(node: np.ndarray, size: np.ndarray, sig: np.ndarray, side: np.ndarra
         if not len(near):
             continue
         apart = np.bitwise_count(sig[near] ^ sig[i]).sum(axis=1, dtype=np.int64)
-        for j in near[may_link(size[near], size[i], apart, t)]:
+        near = near[may_link(size[near], size[i], apart, t)]
+        for j in near[wider.may_link(np.full(len(near), first + i), first + near)]:
             if root[j] != root[i]:
                 out.append((i, int(j)))
                 root[root == root[j]] = root[i]
     return out
 
 
-def _forests(ends: np.ndarray, node: np.ndarray, size: np.ndarray, sig: np.ndarray, side: np.ndarray, t: float) -> list[tuple[int, int]]:
+def _forests(ends: np.ndarray, node: np.ndarray, size: np.ndarray, sig: np.ndarray, side: np.ndarray, wider: Wider, t: float) -> list[tuple[int, int]]:
     """The same for many small groups, given by first place and end: groups of one size are compared at once."""
     out: list[tuple[int, int]] = []
     lens = ends[:, 1] - ends[:, 0]
@@ -189,7 +238,8 @@ def _forests(ends: np.ndarray, node: np.ndarray, size: np.ndarray, sig: np.ndarr
             meet = (node[x] != node[y]) & ((side[x] == 0) | (side[x] != side[y]))
             x, y = x[meet], y[meet]
             apart = np.bitwise_count(sig[x] ^ sig[y]).sum(axis=1, dtype=np.int64)
-            fine = may_link(size[x], size[y], apart, t)
+            fine = np.flatnonzero(may_link(size[x], size[y], apart, t))
+            fine = fine[wider.may_link(x[fine], y[fine])]
             root: dict[int, int] = {}
             for p, q in zip(x[fine].tolist(), y[fine].tolist()):
                 while (r := root.get(p, p)) != p:
@@ -207,15 +257,16 @@ def _bounded(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordB
     held: list[np.ndarray] | None = None
 
     def solve(cols: list[np.ndarray], cut: np.ndarray) -> pa.RecordBatch:
-        _, side, node, size, sig = cols
+        _, side, node, size, sig, wide = cols
+        wider = Wider(wide, size, t)
         lens = np.diff(cut)
         small = lens <= LARGE
         pairs = [np.zeros((0, 2), np.int64)]
         ends = np.stack([cut[:-1][small], cut[1:][small]], axis=1)
         if len(ends):
-            pairs.append(np.array(_forests(ends, node, size, sig, side, t), np.int64).reshape(-1, 2))
+            pairs.append(np.array(_forests(ends, node, size, sig, side, wider, t), np.int64).reshape(-1, 2))
         for a, b in zip(cut[:-1][~small].tolist(), cut[1:][~small].tolist()):
-            found = _forest(node[a:b], size[a:b], sig[a:b], side[a:b], t)
+            found = _forest(node[a:b], size[a:b], sig[a:b], side[a:b], wider, a, t)
             if found:
                 pairs.append(np.array(found, np.int64) + a)
         x = np.sort(node[np.concatenate(pairs)], axis=1)
@@ -225,8 +276,17 @@ def _bounded(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordB
     for b in batches:
         if not b.num_rows:
             continue
-        sig = flat(b.column(4))[0].reshape(b.num_rows, SIGNATURE // 8).view(np.uint64)
-        cols = [*(b.column(k).to_numpy() for k in range(4)), sig]
+        buf, off = flat(b.column(4))
+        lens = np.diff(off)
+        sig, wide = np.zeros((b.num_rows, SIGNATURE // 64), np.uint64), np.full(b.num_rows, None, object)
+        for n in np.unique(lens).tolist():
+            rows = np.flatnonzero(lens == n)
+            full = buf[off[rows][:, None] + np.arange(n)].view(np.uint64)
+            sig[rows] = folded(full, SIGNATURE // 64)
+            if n > SIGNATURE // 8:
+                for r, x in zip(rows.tolist(), full):
+                    wide[r] = x
+        cols = [*(b.column(k).to_numpy() for k in range(4)), sig, wide]
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols)]
         starts = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
@@ -237,7 +297,7 @@ def _bounded(batches: Iterator[pa.RecordBatch], t: float) -> Iterator[pa.RecordB
         yield solve(held, np.array([0, len(held[0])]))
 
 
-def _described(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _described(batches: Iterator[pa.RecordBatch], k: int, t: float) -> Iterator[pa.RecordBatch]:
     """(key, id, text) to (key, id, n, set, sig); of a task's copies only the first has a signature."""
     seen: set[bytes] = set()
     for b in batches:
@@ -247,7 +307,7 @@ def _described(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
             for s in shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], k):
                 sizes.append(len(s))
                 ids.append(set_id(s) if len(s) else None)
-                sigs.append(signature(s).tobytes() if len(s) and ids[-1] not in seen else None)
+                sigs.append(signature(s, width_for(len(s), t)).tobytes() if len(s) and ids[-1] not in seen else None)
                 if len(seen) < REMEMBERED:
                     seen.add(ids[-1])
             yield pa.RecordBatch.from_arrays(
@@ -425,7 +485,7 @@ def _blocks(members: DataFrame, t: float) -> DataFrame:
 def jaccard_components(docs: DataFrame, k: int = 5, t: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id, key (of the text)."""
     texts = docs.select(text_key(F.col(text_col)).alias("key"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.mapInArrow(partial(_described, k=k), "key binary, id long, n long, set binary, sig binary")
+    rows = texts.mapInArrow(partial(_described, k=k, t=t), "key binary, id long, n long, set binary, sig binary")
     rows = written(rows, "jac-rows")
     base = rows.select("key", "id", "n", "set")
     # Nodes of the candidate graph are 64 bits of the class id.  Where two classes share them, the node may link with anything (n = -1).
