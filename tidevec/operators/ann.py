@@ -24,7 +24,7 @@ from ..functions import distance as D
 from ..functions import markers as M
 from ..functions.predicates import disjunction
 from ..schema import NUMERIC, IndexConfig, SearchConfig
-from .knn import BLOCK_QUERIES, CHUNK_ROWS, OUT, _best, _frame, ranked
+from .knn import BLOCK_QUERIES, CHUNK_ROWS, OUT, Nearest, _frame, ranked
 
 #: Rows that k-means is trained on at most, per centroid.
 TRAIN_PER_CENTROID = 256
@@ -233,13 +233,11 @@ def in_blocks(rows: DataFrame, visits: DataFrame, metric: str, k: int, self_excl
     qs = visits.join(plan, "c").withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("qn")).cast("int")).withColumn("pb", upto("pn"))
 
     def pair(key: tuple, qpdf: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        held: list[tuple] = []
-        if len(qpdf) and len(pdf):
-            qv = np.stack(qpdf["qv"]).astype(np.float64)
-            for a in range(0, len(pdf), CHUNK_ROWS):
-                part = pdf.iloc[a : a + CHUNK_ROWS]
-                held += _best(qpdf["qid"].to_numpy(), qv, None, part["label"].to_numpy(), np.stack(part["vector"]).astype(np.float64), None, metric, k, self_excluded, None)
-        return _frame(held)
+        if not len(qpdf) or not len(pdf):
+            return _frame([])
+        best = Nearest(qpdf["qid"].to_numpy(), np.stack(qpdf["qv"]).astype(np.float64), metric, k, self_excluded)
+        best.add(pdf["label"].to_numpy(), np.stack(pdf["vector"]))
+        return pd.DataFrame(dict(zip(("qid", "label", "dist"), best.rows())))
 
     qs, ps = qs.select("c", "qb", "pb", "qid", "qv"), ps.select("c", "qb", "pb", "label", "vector")
     return qs.groupBy("c", "qb", "pb").cogroup(ps.groupBy("c", "qb", "pb")).applyInPandas(pair, OUT)
